@@ -5,19 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumora.llm.decontaminate import contaminations
+from lumora.llm.hash_forest import nearest
 from lumora.llm.jaccard_join import jaccard_classes
+from lumora.llm.mixing import mixture
+from lumora.llm.token_records import token_records
+from lumora.llm.toxicity import toxicity
+from lumora.llm.url_filter import url_verdicts
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records(_table(spark, sf_dir, "documents"), byte_bpe(), end_id=2)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
+def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+    found = (
+        op2_benchmark_decontamination,
+        op3_ngram_jaccard_join,
+        op4_token_records,
+        op6_source_mixing,
+        op7_hash_prefix_forest,
+        op9_toxicity,
+        op10_url_filter,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
