@@ -145,3 +145,18 @@ def shingle_sets(w: Words, k: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
             with np.errstate(over="ignore"):
                 digests[d] = mix(s ^ U64(_STEPS[0])).sum(dtype=np.uint64) ^ (mix(s + U64(_STEPS[1])).sum(dtype=np.uint64) * U64(_STEPS[2]))
     return out, mix(digests)
+
+
+def word_counts(column: pa.Array) -> np.ndarray:
+    """Words of each text of a column from ``plain``, without hashing them."""
+    out = []
+    for a, b in slices(column):
+        raw, offsets = buffers(column.slice(a, b - a))
+        inside = ~SPACE[raw]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        edges = offsets[(offsets > 0) & (offsets < len(raw))]
+        first[edges] = inside[edges]
+        total = np.concatenate(([0], np.cumsum(first)))
+        out.append(np.diff(total[offsets]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)

@@ -9,6 +9,7 @@ from lumora.llm.decontaminate import contaminations
 from lumora.llm.hash_forest import nearest
 from lumora.llm.jaccard_join import jaccard_classes
 from lumora.llm.mixing import mixture
+from lumora.llm.passages import repeated_passages
 from lumora.llm.token_records import token_records
 from lumora.llm.toxicity import toxicity
 from lumora.llm.url_filter import url_verdicts
@@ -45,6 +46,10 @@ def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ def queries() -> dict:
         op4_token_records,
         op6_source_mixing,
         op7_hash_prefix_forest,
+        op8_repeated_passages,
         op9_toxicity,
         op10_url_filter,
     )
