@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lumora.llm.decontaminate import contaminations
 from lumora.llm.hash_forest import nearest
 from lumora.llm.jaccard_join import jaccard_classes
+from lumora.llm.licenses import license_matches
 from lumora.llm.mixing import mixture
 from lumora.llm.passages import repeated_passages
+from lumora.llm.pii import pseudonymised
 from lumora.llm.token_records import token_records
 from lumora.llm.toxicity import toxicity
 from lumora.llm.url_filter import url_verdicts
@@ -25,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +43,10 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(_table(spark, sf_dir, "documents"), byte_bpe(), end_id=2)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
 
@@ -60,9 +70,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
+        op1_feistel_pseudonyms,
         op2_benchmark_decontamination,
         op3_ngram_jaccard_join,
         op4_token_records,
+        op5_license_scan,
         op6_source_mixing,
         op7_hash_prefix_forest,
         op8_repeated_passages,
