@@ -115,6 +115,8 @@ def java_pattern(text: str) -> str:
                 raise QueryError(f"unexpected ) in {text!r}")
             multi.pop()
             out.append(atom)
+        elif atom == "\\":
+            raise QueryError(f"a pattern ends in an escape: {text!r}")
         elif atom == "[":
             raise QueryError(f"a class is not closed in {text!r}")
         elif atom == "|":

@@ -7,7 +7,7 @@ from lumora.functions.errors import QueryError
 from lumora.functions.patterns import java_pattern
 
 
-@pytest.mark.parametrize("text, ns", [("0", 0), ("5m", 300 * 10**9), ("1h30m", 5400 * 10**9), ("1y2w3d4h5m6s7ms", 33_106_506_007 * 10**6), ("100ms", 10**8)])
+@pytest.mark.parametrize("text, ns", [("0", 0), ("5m", 300 * 10**9), ("1h30m", 5400 * 10**9), ("1y2w3d4h5m6s7ms", 33_019_506_007 * 10**6), ("100ms", 10**8)])
 def test_durations(text, ns):
     assert durations.duration_ns(text) == ns
 
@@ -88,7 +88,7 @@ def test_fingerprint_golden():
 
 
 def test_literals():
-    assert literals.take_literal('"a\\n\\x41\\u00e9" rest', 0) == ("a\nAé", 14)
+    assert literals.take_literal('"a\\n\\x41\\u00e9" rest', 0) == ("a\nAé", 15)
     assert literals.take_literal("`a\\n`", 0)[0] == "a\\n"
     for bad in ('"\\d"', '"\\\'"', '"open', "x", '"\\ud800"', '"\\777"'):
         with pytest.raises(QueryError):
