@@ -13,7 +13,9 @@ manifest and are never read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -31,8 +33,8 @@ from lumora.llm._text import plain, slices
 
 MAGIC = b"LUMIDX01"
 MASK = 0xA282EAD8
-#: Pieces of up to this many characters stay in an encoder's memory, up to so many pieces.
-PIECE_CHARS, PIECES = 48, 300_000
+#: Words that an encoder remembers before it starts anew.
+WORDS = 400_000
 
 
 def masked(data: bytes) -> int:
@@ -61,12 +63,18 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+_LETTER, _NUMBER, _BLANK = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
+#: The byte-level pre-tokenizer's own split, for texts of Latin-1 characters.
+_SPLIT = re.compile(f" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+
+
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's own, with the ids of frequent pieces remembered.
+    """Ids of whole texts, equal to the tokenizer's own, with the ids of words seen before remembered.
 
-    A byte-level pre-tokenizer never joins a space with what stands before it, so a text may be cut before
-    each space; the ids of ' word' are then looked up. A space within or at the end of longer white space is
-    the exception: such texts are encoded as they are.
+    A byte-level tokenizer merges within the words of its pre-tokenizer only, so a text's ids are its words'
+    ids in turn. Latin-1 texts are split here, by the same rule, and new words are encoded many at a time.
+    Texts with other characters or with a special token's text, and files of another pre-tokenizer, go to
+    the tokenizer as they are.
     """
 
     def __init__(self, file: str):
@@ -76,33 +84,58 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        with open(file, encoding="utf-8") as f:
+            about = json.load(f)
+        pre = about.get("pre_tokenizer") or {}
+        self.split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not about.get("normalizer") and about["model"]["type"] == "BPE" and not about["model"].get("dropout")
+        self.special = [t["content"] for t in about.get("added_tokens", [])]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 512):
-            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
+        for i in range(0, len(texts), 64):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
         return out
 
+    def _joined(self, words: list[str], between: str) -> None:
+        """Learns words that stay apart when written one after the other."""
+        for i in range(0, len(words), 2048):
+            part = words[i : i + 2048]
+            e = self.tokenizer.encode(between.join(part), add_special_tokens=False)
+            owner = np.array(e.word_ids, np.int64)
+            cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) * self.dtype.itemsize
+            data = np.array(e.ids, self.dtype).tobytes()
+            step = 2 if between else 1
+            if len(cut) != step * (len(part) - 1) + 2:
+                self.known.update(zip(part, self.whole(part), strict=True))
+                continue
+            at = cut.tolist()
+            self.known.update((w, data[at[step * k] : at[step * k + 1]]) for k, w in enumerate(part))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > PIECES:
+        if len(self.known) > WORDS:
             self.known.clear()
-        known = self.known
-        split = [t.split(" ") for t in texts]
-        new = {p for pieces in split for p in pieces[1:] if p not in known}
-        spaced = {p for p in new if not p or p[0].isspace()}
-        fresh = sorted(new - spaced)
-        late = dict(zip(fresh, self.whole([" " + p for p in fresh]), strict=True))
-        known.update((p, b) for p, b in late.items() if len(p) <= PIECE_CHARS)
-        heads = dict.fromkeys(pieces[0] for pieces in split)
-        heads = dict(zip(heads, self.whole(list(heads)), strict=True))
-        out: list[bytes | None] = []
-        for pieces in split:
-            try:
-                out.append(heads[pieces[0]] + b"".join([known[p] if p in known else late[p] for p in pieces[1:]]))
-            except KeyError:
-                out.append(None)
-        odd = [i for i, b in enumerate(out) if b is None]
-        for i, b in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+        out: list[bytes | None] = [None] * len(texts)
+        split: dict[int, list[str]] = {}
+        for i, t in enumerate(texts):
+            if self.split and not any(x in t for x in self.special):
+                try:
+                    t.encode("latin-1")
+                except UnicodeEncodeError:
+                    continue
+                split[i] = _SPLIT.findall(t)
+        new = set().union(*split.values()) - self.known.keys()
+        if new:
+            spaced = sorted(w for w in new if w[0] == " " and w[1:] and not w[1].isspace())
+            bare = sorted(w for w in new if not w[0].isspace() and w[0] != "'")
+            rest = sorted(new.difference(spaced, bare))
+            self._joined(spaced, "")
+            self._joined(bare, "\n")
+            self.known.update(zip(rest, self.whole(rest), strict=True))
+        get = self.known.__getitem__
+        for i, found in split.items():
+            out[i] = b"".join(map(get, found))
+        late = [i for i, b in enumerate(out) if b is None]
+        for i, b in zip(late, self.whole([texts[i] for i in late]), strict=True):
             out[i] = b
         return out
 
