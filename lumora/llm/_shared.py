@@ -19,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch, where the session names none: workers hold several copies of a batch at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the memory of Python workers on long texts; a setting of the session's own is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumora-{name}-{uuid.uuid4().hex}"
 
@@ -33,4 +45,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, so that further columns of the input cannot clash with an operator's own."""
+    small_batches(df.sparkSession)
     return df.select(*[df[f"`{n}`"] for n in names])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm import _text as T
-from lumora.llm._shared import columns
+from lumora.llm._shared import columns, small_batches
 
 U64 = np.uint64
 WINDOW, AGREE, SHORTEST = 13, 0.8, 8
@@ -167,7 +167,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``documents`` in which no item is found, with all their columns. Rows without text stay."""
-    spark = documents.sparkSession
+    spark = small_batches(documents.sparkSession)
     at = documents.columns.index(text)
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.llm import _text as T
-from lumora.llm._shared import columns, written
+from lumora.llm._shared import columns, small_batches, written
 
 #: Budget in words that the dynamic programme closes.
 REACH = 1 << 16
@@ -105,6 +105,7 @@ def _plan(goals: dict[str, tuple[int, int]]):
 
 def _sized(documents: DataFrame, seed: int) -> DataFrame:
     """All columns of ``documents`` in ``_row``, with source, size, h and key."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("_row")) if documents.columns else documents
     rows = rows.select("_row", F.col("_row.source").cast("string").alias("source"), F.col("_row.text").cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("_row.doc_id").cast("string"), "source", "text"))

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm._shared import columns
+from lumora.llm._shared import columns, small_batches
 from lumora.llm._text import plain
 
 #: Look-alike letters of other scripts, and digits and signs that stand for letters.
@@ -33,6 +33,8 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 SHORTEST, LONGEST = 3, 9
 #: Most labelled rows a lexicon is learnt from, and most terms kept.
 TRAIN_ROWS, TERMS = 24_000, 2_000
+#: Terms of toxic training texts that are compared with clean ones: the most frequent, a bounded table on the driver.
+CANDIDATES = 100_000
 
 
 def fold(text: str) -> str:
@@ -108,23 +110,33 @@ def _terms(text: str) -> tuple[Counter, int]:
     return out, len(folded)
 
 
-def _count_terms(batches):
-    """Per partition and term: texts and occurrences of either label; the empty term has texts and words."""
-    held: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for text, toxic in zip(plain(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found, n = _terms(text)
-            found[""] = n
-            for t, k in found.items():
-                row = held.get(t)
-                if row is None:
-                    row = held[t] = np.zeros(4, np.int64)
-                row[2 * toxic] += 1
-                row[2 * toxic + 1] += k
-    items = [(t, *row) for t, row in held.items() if t == "" or row[2] >= 2]
-    for i in range(0, len(items), 50_000):
-        cols = list(zip(*items[i : i + 50_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array([int(v) for v in c], pa.int64()) for c in cols[1:])], ["term", "clean_texts", "clean_n", "toxic_texts", "toxic_n"])
+def _count_terms(toxic: int, among=None):
+    """Per portion and term: texts and occurrences in texts of one label; the empty term has texts and words."""
+    def run(batches):
+        wanted = among.value if among is not None else None
+        held: dict[str, list[int]] = {}
+        for batch in batches:
+            column, label = plain(batch.column(0)), batch.column(1).to_numpy()
+            for text in column.filter(pa.array(label == toxic)).to_pylist():
+                found, n = _terms(text)
+                found[""] = n
+                for t in found if wanted is None else found.keys() & wanted:
+                    row = held.get(t)
+                    if row is None:
+                        held[t] = [1, found[t]]
+                    else:
+                        row[0] += 1
+                        row[1] += found[t]
+                if len(held) > 150_000:
+                    yield _counted(held)
+                    held = {}
+        if held:
+            yield _counted(held)
+    return run
+
+
+def _counted(held: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([r[0] for r in held.values()], pa.int64()), pa.array([r[1] for r in held.values()], pa.int64())], ["term", "texts", "n"])
 
 
 def _choose(rows: list[tuple], totals: tuple[int, int, int, int], terms: int) -> dict[str, float]:
@@ -184,14 +196,18 @@ def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
         marked = marked.where(F.pmod(F.xxhash64("d", F.lit(17)), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
     texts = columns(documents, "doc_id", "text").where("text is not null")
     rows = texts.join(marked, F.col("doc_id") == F.col("d")).select("text", "toxic").persist()
-    counted = rows.mapInArrow(_count_terms, "term string, clean_texts long, clean_n long, toxic_texts long, toxic_n long").groupBy("term").sum()
-    found = counted.where("`sum(toxic_texts)` >= 4 and (`sum(toxic_texts)` > 2 * `sum(clean_texts)` or `sum(toxic_n)` > 0.25 * `sum(clean_n)` or term = '')")
-    got = found.orderBy(F.desc(F.col("sum(toxic_texts)") - F.col("sum(clean_texts)") / 20)).limit(20 * terms).collect()
-    totals = next((tuple(r)[1:] for r in got if r[0] == ""), (0, 0, 0, 0))
+    spark = documents.sparkSession
+    schema, sums = "term string, texts long, n long", (F.sum("texts").alias("texts"), F.sum("n").alias("n"))
+    bad = rows.mapInArrow(_count_terms(1), schema).groupBy("term").agg(*sums).where("texts >= 4 or term = ''")
+    bad = {r[0]: (r[1], r[2]) for r in bad.orderBy(F.col("term") != "", F.desc("texts"), "term").limit(CANDIDATES).collect()}
+    among = spark.sparkContext.broadcast(frozenset(bad) | {""})
+    good = {r[0]: (r[1], r[2]) for r in rows.mapInArrow(_count_terms(0, among), schema).groupBy("term").agg(*sums).collect()}
+    totals = (*good.get("", (0, 0)), *bad.get("", (0, 0)))
     if not totals[0] or not totals[2]:
         rows.unpersist()
         return Lexicon({f" {w}": v for w, v in DEFAULT_TERMS.items()}, exceptions)
-    lexicon = Lexicon(_choose([tuple(r) for r in got if r[0]], totals, terms), exceptions)
+    found = [(t, *good.get(t, (0, 0)), *bad[t]) for t in bad if t]
+    lexicon = Lexicon(_choose(found, totals, terms), exceptions)
 
     def measure(batches, lexicon=lexicon):
         for batch in batches:
@@ -223,6 +239,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The rows of ``documents`` that score below ``limit``, with all their columns."""
+    small_batches(documents.sparkSession)
     lexicon = learn(documents, labels)
     at = documents.columns.index("text")
 
