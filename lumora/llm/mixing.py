@@ -65,7 +65,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 def _knapsack(length: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray:
     """Bounded knapsack: the reachable sum closest to ``rest``, the smaller of two as close."""
-    size = rest + int(length[left > 0].min(initial=0)) + 1 if (left > 0).any() else rest + 1
+    # sums past twice the rest are no closer than none at all
+    size = rest + 1 + min(rest, int(length[left > 0].max()) if (left > 0).any() else 0)
     reached, first = np.zeros(size, bool), np.full(size, -1, np.int32)
     reached[0] = True
     for i, n in enumerate(length):
