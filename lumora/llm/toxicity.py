@@ -23,7 +23,7 @@ from lumora.llm._text import plain
 
 #: Look-alike letters of other scripts, and digits and signs that stand for letters.
 LOOKALIKES = dict(zip("авеёкмнорстухіјѕԁɡαβεικνορτυχγ", "abeekmhopctyxijsdgabeikvoptuxy", strict=True))
-SUBSTITUTES = dict(zip("0134578@$!|", "oieastbasil", strict=True))
+SUBSTITUTES = dict(zip("0134578@$", "oieastbas", strict=True))
 _FOLD = str.maketrans(LOOKALIKES | SUBSTITUTES)
 #: Phrases in which a term is meant otherwise.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser bracket")
