@@ -84,5 +84,24 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+OP3_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w
+), e AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS root FROM s UNION SELECT p.y, r.root FROM reach r JOIN p ON p.x = r.doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, (SELECT min(root) FROM reach r WHERE r.doc_id = s.doc_id) AS component_id,
+    CAST((SELECT count(*) FROM p WHERE p.x = s.doc_id) AS BIGINT) AS n_links
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_jaccard_join": OP3_SQL}
