@@ -20,6 +20,10 @@ from lumora.sources.ingest import IngestError, log_rows, metric_rows
 Answer = tuple[int, object]
 
 
+def health() -> Answer:
+    return 200, {"status": "ok"}
+
+
 def _ok(data) -> Answer:
     return 200, {"status": "success", "data": data, "warnings": []}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumora.functions.fingerprint import with_fingerprint
 from lumora.operators import discovery
 from lumora.operators.logs import LogEngine
-from lumora.operators.maintenance import BlockStore
+from lumora.operators.maintenance import BlockStore, LogStore
 from lumora.operators.metrics import MetricEngine, latest_writes
 from lumora.operators.ticks import Ticks
 from lumora.plans.logql import parse_constant
@@ -357,6 +357,16 @@ def storage_retention(spark, sf_dir):
     return store.scan().agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query("SELECT DISTINCT 'events' AS service, event_type AS level, epoch_us(ts) * 1000 AS ts_ns, 'user=' || user_id || ' ' || props AS line FROM events")
+def storage_log_blocks(spark, sf_dir):
+    data = tables.event_logs(spark, sf_dir)
+    store = LogStore(spark, new_folder(spark, "log-blocks"))
+    store.flush(data.entries.where("seq % 2 = 0"))
+    store.flush(data.entries.where("seq % 3 <> 0"))
+    store.flush(data.entries.where("seq % 6 = 3"))
+    return store.latest().join(data.streams, "stream_id").select(_label("service"), _label("level"), "ts_ns", "line")
+
+
 @_query(f"WITH {EV} SELECT event_type, usr, ts_ms, value FROM ev WHERE CAST(usr AS BIGINT) % 50 <> 0")
 def streaming_metric_ingest(spark, sf_dir):
     folder = new_folder(spark, "stream")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions.errors import QueryError
+from lumora.operators.logs import distinct_entries
 from lumora.operators.metrics import latest_writes
 
 HOUR_MS = 3_600_000
@@ -55,9 +56,29 @@ def expired(blocks: Iterable[Block], now: int, retention: int) -> list[Block]:
     return [b for b in blocks if retention > 0 and b.max_ts < now - retention]
 
 
+@dataclass(frozen=True)
+class FlushPolicy:
+    """When the rows written since the last flush become a block: whichever bound is met first."""
+
+    interval_ms: int = 120_000
+    chunks: int = 1000
+    log_bytes: int = 64 << 20
+
+    def __post_init__(self):
+        if min(self.interval_ms, self.chunks, self.log_bytes) <= 0:
+            raise QueryError("a flush policy has positive bounds")
+
+    def due(self, now: int, last_flush: int, chunks: int, log_bytes: int) -> bool:
+        return chunks > 0 and (now - last_flush >= self.interval_ms or chunks >= self.chunks) or log_bytes >= self.log_bytes
+
+
 class BlockStore:
     """Samples (sid, ts_ms, value, gen) in blocks under a root that all executors share."""
 
+    KEY, TIME = "sid", "ts_ms"
+    COLUMNS = ("sid", "ts_ms", "value", "gen")
+    SCHEMA = "sid long, ts_ms long, value double, gen long"
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
@@ -89,8 +110,8 @@ class BlockStore:
     def _write(self, samples: DataFrame, level: int, sources: tuple[str, ...]) -> Block | None:
         name = uuid.uuid4().hex
         folder = f"{self.root}/data/{name}"
-        samples.repartitionByRange("sid", "ts_ms").sortWithinPartitions("sid", "ts_ms").write.parquet(folder)
-        low, high, n = self.spark.read.parquet(folder).agg(F.min("ts_ms"), F.max("ts_ms"), F.count(F.lit(1))).first()
+        samples.repartitionByRange(self.KEY, self.TIME).sortWithinPartitions(self.KEY, self.TIME).write.parquet(folder)
+        low, high, n = self.spark.read.parquet(folder).agg(F.min(self.TIME), F.max(self.TIME), F.count(F.lit(1))).first()
         if not n:
             self._fs.delete(self._path(folder), True)
             return None
@@ -99,16 +120,16 @@ class BlockStore:
         return block
 
     def flush(self, samples: DataFrame) -> Block | None:
-        return self._write(samples.select("sid", "ts_ms", "value", "gen"), 1, ())
+        return self._write(samples.select(*self.COLUMNS), 1, ())
 
     def scan(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        """Samples of all blocks that overlap start..end."""
+        """Rows of all blocks that overlap start..end."""
         found = [b for b in self.blocks() if (end is None or b.min_ts <= end) and (start is None or b.max_ts >= start)]
         if not found:
-            return self.spark.createDataFrame([], "sid long, ts_ms long, value double, gen long")
+            return self.spark.createDataFrame([], self.SCHEMA)
         rows = self.spark.read.parquet(*[f"{self.root}/data/{b.id}" for b in found])
-        rows = rows.where(F.col("ts_ms") >= start) if start is not None else rows
-        return rows.where(F.col("ts_ms") <= end) if end is not None else rows
+        rows = rows.where(F.col(self.TIME) >= start) if start is not None else rows
+        return rows.where(F.col(self.TIME) <= end) if end is not None else rows
 
     def _drop(self, blocks: Iterable[Block]) -> None:
         for b in blocks:
@@ -138,3 +159,26 @@ class BlockStore:
 
     def latest(self, start: int | None = None, end: int | None = None) -> DataFrame:
         return latest_writes(self.scan(start, end))
+
+
+class LogStore(BlockStore):
+    """Log entries in blocks. Logs are neither compacted nor dropped; entries written twice are settled when read."""
+
+    KEY, TIME = "stream_id", "ts_ns"
+    COLUMNS = ("stream_id", "ts_ns", "line", "seq")
+    SCHEMA = "stream_id long, ts_ns long, line string, seq long"
+    #: Bytes of times and lines at which the entries since the last flush become a block.
+    FLUSH_BYTES = 8 << 20
+
+    def due(self, lines: Iterable[str]) -> bool:
+        return sum(8 + len(x.encode()) for x in lines) >= self.FLUSH_BYTES
+
+    def compact(self, group: Sequence[Block]) -> Block:
+        raise QueryError("logs are not compacted")
+
+    def maintain(self, now: int, retention: int = 0, ranges: Sequence[int] | None = None) -> None:
+        raise QueryError("logs have no retention")
+
+    def latest(self, start: int | None = None, end: int | None = None) -> DataFrame:
+        """Each line of a stream and time once."""
+        return distinct_entries(self.scan(start, end))

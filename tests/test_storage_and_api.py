@@ -3,10 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.api import LogApi, MetricApi
+from lumora.api import LogApi, MetricApi, health
 from lumora.functions.errors import QueryError
 from lumora.operators.logs import LogEngine
-from lumora.operators.maintenance import Block, BlockStore, compaction_ranges, expired, plan_compaction
+from lumora.operators.maintenance import Block, BlockStore, FlushPolicy, LogStore, compaction_ranges, expired, plan_compaction
 from lumora.operators.metrics import MetricEngine
 from lumora.sources import ingest
 from lumora.sources.model import SAMPLES
@@ -77,6 +77,25 @@ def test_block_store(spark, tmp_path):
         store.compact([])
 
 
+def test_log_store(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/logs")
+    for rows in ([(1, 5, "a", 1), (1, 5, "b", 2)], [(1, 5, "a", 3), (2, 9, "c", 4)]):
+        store.flush(spark.createDataFrame(rows, LogStore.SCHEMA))
+    assert sorted(map(tuple, store.latest().collect())) == [(1, 5, "a", 1), (1, 5, "b", 2), (2, 9, "c", 4)]
+    assert store.scan(6, 9).count() == 1 and store.due(["x" * (8 << 20)]) and not store.due(["x"])
+    for call in (lambda: store.compact([]), lambda: store.maintain(0)):
+        with pytest.raises(QueryError):
+            call()
+
+
+def test_flush_policy():
+    policy = FlushPolicy()
+    assert not policy.due(119_999, 0, 5, 0) and policy.due(120_000, 0, 1, 0) and policy.due(0, 0, 1000, 0) and policy.due(0, 0, 0, 64 << 20) and not policy.due(10**9, 0, 0, 0)
+    with pytest.raises(QueryError):
+        FlushPolicy(chunks=0)
+    assert health()[0] == 200
+
+
 def test_stream_restarts_where_it_ended(spark, tmp_path):
     (tmp_path / "in").mkdir()
     run = lambda: streaming.ingest(streaming.read_bodies(spark, f"{tmp_path}/in"), "metrics", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
