@@ -24,7 +24,7 @@ from lumora.llm._shared import columns, written
 U64 = np.uint64
 TREES, BITS, SEED = 40, 64, 5
 #: Share of a block that a query's ranges hold, and least number, before the ascent ends (repeats counted).
-SHARE, LEAST = 0.7, 400
+SHARE, LEAST = 1.1, 400
 BLOCK_ROWS = 8192
 #: Query vectors in one portion.
 PORTION_BYTES = 32 << 20
