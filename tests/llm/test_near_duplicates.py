@@ -153,3 +153,18 @@ def test_repeated_passages(spark, limit):
     assert len(covered[301]) == 900 and len(covered[302]) >= 900 and {r["doc_id"] for r in got} >= told - {300}
     assert len(got) < 20
     assert passages.repeated_passages(frame(spark, [])).count() == 0
+
+
+def test_passages_within_near_copies_keep_their_links(spark):
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    quoting = [prose(rng, 60) + " " + passage + " " + prose(rng, 60) for _ in range(3)]
+    rows = [(1, prose(rng, 40) + " " + passage + " " + prose(rng, 40))]
+    for i, text in enumerate(quoting):
+        w = text.split()
+        rows += [(10 * i + 10, text), (10 * i + 11, " ".join([*w[:20], "new", *w[21:]]))]
+    root = {d: d for d, _ in rows}
+    for r in passages.repeated_passages(frame(spark, rows)).collect():
+        a, b = root[r["doc_id"]], root[r["first_doc_id"]]
+        root = {d: min(a, b) if x in (a, b) else x for d, x in root.items()}
+    assert set(root.values()) == {1}
