@@ -29,3 +29,16 @@ def test_query_equals_sql(spark, name):
     names = [x[0] for x in want.description]
     assert sorted(names) == sorted(frame.columns)
     assert got == rows(want.fetchall(), names)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
+def test_storage_queries_store_all_samples(spark):
+    store, _ = catalog._stored(spark, DATA)
+    events = f"'{DATA}/events.parquet'"
+    n, low, high = duckdb.connect().execute(f"SELECT count(*), min(epoch_ms(ts) // 3600000), max(epoch_ms(ts) // 3600000) FROM {events}").fetchone()
+    blocks = store.blocks()
+    assert len(blocks) == 3 and sum(b.samples for b in blocks) == n
+    store.maintain(0, ranges=[128 * catalog.HOUR, 40_000 * catalog.HOUR])
+    (merged,) = store.blocks()
+    kept = duckdb.connect().execute(f"SELECT count(DISTINCT (event_type, user_id, epoch_ms(ts) // 3600000)) FROM {events}").fetchone()[0]
+    assert (merged.samples, merged.min_ts // catalog.HOUR, merged.max_ts // catalog.HOUR) == (kept, low, high)
