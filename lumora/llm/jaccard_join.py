@@ -54,7 +54,7 @@ def _join_spaces(sets: list[np.ndarray], digests: np.ndarray):
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], k: int):
-    """Sets of a partition in portions: parallel lists of virtual ids, sizes and keys, each set once a portion."""
+    """Sets of a partition in portions of FLUSH_SETS at most: size and keys by virtual id, each set once a portion."""
     seen: dict[int, tuple[int, np.ndarray]] = {}
     held = 0
     for batch in batches:
@@ -65,7 +65,10 @@ def _flushes(batches: Iterator[pa.RecordBatch], k: int):
                 if int(vid) not in seen:
                     seen[int(vid)] = n, keys
                     held += len(keys)
-            if held >= FLUSH_SHINGLES or len(seen) >= FLUSH_SETS:
+                if len(seen) >= FLUSH_SETS:  # a set's number within a portion has 16 bits
+                    yield seen
+                    seen, held = {}, 0
+            if held >= FLUSH_SHINGLES:
                 yield seen
                 seen, held = {}, 0
     if seen:

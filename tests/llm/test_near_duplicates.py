@@ -168,3 +168,17 @@ def test_passages_within_near_copies_keep_their_links(spark):
         a, b = root[r["doc_id"]], root[r["first_doc_id"]]
         root = {d: min(a, b) if x in (a, b) else x for d, x in root.items()}
     assert set(root.values()) == {1}
+
+
+def test_many_short_texts_in_one_partition(spark):
+    # 9900 new texts in each Arrow batch of 10,000 rows: portions would pass 65,536 sets
+    rows = []
+    for i in range(70_000):
+        if i % 100 == 99:
+            rows.append((i, None))
+        else:
+            n = i - i % 2  # neighbours differ in their last word
+            rows.append((i, " ".join(f"{n:x}{c}" for c in "abcdefghijklm") + f" {i}"))
+    got = jaccard_classes(frame(spark, rows, False).coalesce(1)).collect()
+    linked = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in got if r["doc_id"] % 100 not in (98, 99)}
+    assert len(linked) == 68_600 and all(v == (d - d % 2, 1) for d, v in linked.items())
