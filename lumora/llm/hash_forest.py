@@ -3,7 +3,7 @@
 Each tree gives a vector a string of 64 sign bits of random projections and holds the strings of a block of
 vectors in a sorted array. A query descends every tree to its longest prefix match by binary search, then all
 trees ascend together, a bit at a time, each step taking in the longer ranges of shorter prefixes, until the
-ranges hold enough candidates. Candidates are ranked by their exact inner product in double precision.
+ranges hold enough candidates and enough different ones. Candidates are ranked by their exact inner product in double precision.
 
 Vectors are dealt in blocks; a block's forest is built, searched and dropped in one task. Queries are sent to
 the tasks in portions of a bounded size, one pass over the blocks for each portion, and a query's best of all
@@ -51,8 +51,8 @@ class Forest:
         self.order = np.argsort(h, axis=1, kind="stable")
         self.sorted = np.take_along_axis(h, self.order, axis=1)
 
-    def candidates(self, q: np.ndarray, share: float = SHARE, least: int = LEAST):
-        """Row numbers in the block for each query vector."""
+    def candidates(self, q: np.ndarray, share: float = SHARE, least: int = LEAST, rows: np.ndarray | int = 0):
+        """Row numbers in the block for each query vector: at least ``rows`` (for each) different ones, or all."""
         want = min(len(self.x) * self.trees, max(least, int(share * len(self.x))))
         h = strings(q, self.planes, self.trees)
         low = np.zeros((BITS + 1, self.trees, len(q)), np.int32)
@@ -66,11 +66,17 @@ class Forest:
         held = (high - low).sum(axis=1, dtype=np.int64)
         depth = BITS - np.argmax(held[::-1] >= want, axis=0)  # the deepest level with enough
         seen = np.zeros(len(self.x), bool)
+        rows = np.broadcast_to(rows, len(q))
         for i, d in enumerate(depth):
             seen[:] = False
-            for t in range(self.trees):
-                seen[self.order[t, low[d, t, i] : high[d, t, i]]] = True
-            yield np.flatnonzero(seen)
+            while True:
+                for t in range(self.trees):
+                    seen[self.order[t, low[d, t, i] : high[d, t, i]]] = True
+                found = np.flatnonzero(seen)
+                if d == 0 or len(found) >= rows[i]:
+                    break
+                d -= 1
+            yield found
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -100,7 +106,9 @@ def _search(queries, k: int, trees: int, share: float, least: int):
         x, own = _matrix(table["embedding"]), table["vec_id"].to_numpy()
         out: list[list] = [[], [], []]
         forest = Forest(x, trees)
-        for i, rows in enumerate(forest.candidates(q, share, least)):
+        ranked = np.sort(own)  # rows of the query's own id are no candidates
+        need = k + np.searchsorted(ranked, ids, side="right") - np.searchsorted(ranked, ids)
+        for i, rows in enumerate(forest.candidates(q, share, least, need)):
             rows = rows[own[rows] != ids[i]]
             score = exact(x[rows], q[i])
             top = _best(score, own[rows], k)

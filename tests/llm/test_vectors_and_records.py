@@ -119,6 +119,17 @@ def test_nearest_against_brute_force(spark):
     assert copies == sorted(copies) and copies[0] == 2001  # ties go to the smaller id
 
 
+def test_nearest_among_equal_vectors(spark):
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((500, 32))
+    x[:15] = x[0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(table, table.where("vec_id < 15"), k=20).orderBy("query_id", "rank").collect()
+    for q in range(15):
+        mine = [r["vec_id"] for r in got if r["query_id"] == q]
+        assert len(set(mine)) == 20 and mine[:14] == [i for i in range(15) if i != q]
+
+
 def test_nearest_with_few_vectors(spark):
     table = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     got = nearest(table, table.where("vec_id = 0"), k=20).orderBy("rank").collect()
