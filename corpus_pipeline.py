@@ -14,20 +14,30 @@ from lumora.llm.token_records import token_records
 from lumora.llm.toxicity import without_toxic
 
 
+#: The column that tells rows apart within the Jaccard stage.
+ROW = "jaccard_row"
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays.
+    """Of each class of near copies the row with the smallest id stays; rows without an id come after all others.
 
-    Rows without an id cannot be told apart and stay, as do rows without words; of rows with equal ids and
-    equal texts one stays.
+    Each row is decided for itself, whatever others share its id. Rows without words stay, but of those with
+    equal ids and equal texts one.
     """
-    classes = jaccard_classes(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(classes, docs["doc_id"] == F.col("gone"), "left_anti")
-    return kept
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "jaccard-rows")
+    classes = jaccard_classes(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "n_shingles", F.col("component_id").alias("class"))
+    first = lambda: F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("stays")
+    placed = written(rows.select("doc_id", ROW).join(classes, F.col(ROW) == F.col("own")), "jaccard-rows-placed")
+    linked = placed.where("n_shingles > 0").groupBy("class").agg(first())
+    blank = rows.join(placed.where("n_shingles = 0 and doc_id is not null").select("own"), F.col(ROW) == F.col("own")).groupBy("doc_id", "text").agg(first())
+    unnamed = placed.where("n_shingles = 0 and doc_id is null").select(F.col(ROW).alias("stays"))
+    stays = linked.select("stays").unionByName(blank.select("stays")).unionByName(unnamed)
+    return rows.join(stays, F.col(ROW) == F.col("stays"), "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,16 @@ def test_every_stage(spark, tmp_path):
         kept, last = out, new
 
 
+def test_jaccard_stage_decides_by_row(spark, tmp_path):
+    rng = random.Random(9)
+    clean, near, unnamed = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(1, near), (2, clean), (2, changed(rng, near, 1)), (3, ""), (4, None), (None, unnamed), (None, changed(rng, unnamed, 1)), (5, prose(rng, 40))]
+    got = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame([*rows, *rows], "doc_id long, text string"), str(tmp_path)).collect()
+    named = sorted((r["doc_id"], r["text"] or "") for r in got if r["doc_id"] is not None)
+    assert named == [(1, near), (2, clean), (3, ""), (4, ""), (5, rows[-1][1])]
+    assert len([r for r in got if r["doc_id"] is None]) == 1
+
+
 def test_run_equals_its_stages(spark, tmp_path):
     tables(tmp_path, seed=2, n=120)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
