@@ -74,6 +74,35 @@ def test_pseudonyms_are_a_bijection(spark):
     assert len(set(got)) == 2000
 
 
+def test_values_beside_other_numbers_are_found(spark):
+    texts = ["4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "PL61 1090 1014 0000 0712 1981 2874 IBAN", "PL61109010140000071219812874 77", "123456 4111 1111 1111 1111 7 4845168114407329 99", "5 6 4111-1111-1111-1111", "+49301234567 or +49 30 1234567 or +49-30-123 4567", "(407) 555-7710 407-555-7710 +1 (407) 555-7710 +14075557710", "4111 1111 1111 1111 2024-02-29 x", "4111 1111 1111 1111abc 4111-1111-1111-1111-1 1.4111111111111111"]
+    got, n = pseudo(spark, texts)
+    assert n == [1, 1, 1, 1, 2, 1, 3, 4, 2, 0] and got[9] == texts[9]
+    card = got[1]
+    assert got[0] == card + " 12/27" and card != texts[1] and got[4].startswith(f"123456 {card} 7 ") and got[4].endswith(" 99") and got[5] == "5 6 " + card.replace(" ", "-") and got[8].startswith(card + " 20")
+    assert got[2].removesuffix(" IBAN").replace(" ", "") == got[3].removesuffix(" 77") != texts[3].removesuffix(" 77")
+    for text in got[6:8]:  # one number in all notations
+        numbers = [int("".join(c for c in part if c.isdigit())) % 10**9 for part in text.replace("(", " (").split(" or ")] if " or " in text else [int("".join(c for c in part if c.isdigit())[-10:]) for part in __import__("re").findall(r"\+1 \(\d+\) \S+|\(\d+\) \S+|\S+", text)]
+        assert len(set(numbers)) == 1
+
+
+def test_hostile_texts_end(spark):
+    n = 200_000
+    texts = ["a@" + "b." * n, "1-" * n, "+1" * n, "9" * n, "AB12 " * n, "DE89" + " A1B2" * n, "1.1.1.1." * n, "(123) " * n, "a" * n + "@", "123-45-" * n, "2024-01-01-" * n, "a.b@" * n, "12/12/2024/" * n, "+1 (" * n, "1 " * (n // 10)]
+    got, found = pseudo(spark, texts)
+    assert found[:-1] == [0] * (len(texts) - 1) and got == texts
+    got, found = pseudo(spark, ["4111 1111 1111 1111 " * 2000])
+    assert found == [2000] and len(set(got[0].split("  "))) == 1 and len(got[0]) == 40_000
+
+
+def test_pseudonyms_of_odd_tables(spark):
+    assert pii.pseudonymised(frame(spark, [])).count() == 0
+    rows = frame(spark, [(1, "4845168114407329"), (1, "4845168114407329"), (None, None)]).selectExpr("*", "'mine' AS n_pseudonyms", "7 AS s", "8 AS x")
+    got = pii.pseudonymised(rows)
+    assert got.columns == [*rows.columns, "n_pseudonyms_"]
+    assert sorted((r["n_pseudonyms"], r["n_pseudonyms_"], r["s"], r["x"]) for r in got.collect()) == [("mine", 0, 7, 8), ("mine", 1, 7, 8), ("mine", 1, 7, 8)]
+
+
 # --- decontamination
 
 def test_masks_hit_every_window_with_two_substitutions():
