@@ -170,6 +170,60 @@ def test_passages_within_near_copies_keep_their_links(spark):
     assert set(root.values()) == {1}
 
 
+def boilerplate(rng):
+    """Texts that are full of snippets too short for a passage, and of passages that hold and extend them."""
+    snippets = [prose(rng, n) for n in (12, 28, 35, 40, 46, 49)]
+    passages_ = [prose(rng, 60) for _ in range(6)] + [s + " " + prose(rng, 30) for s in snippets[1:]] + [prose(rng, 20) + " " + snippets[3] + " " + prose(rng, 20)]
+    passages_ += [passages_[0] + " " + prose(rng, 30), passages_[0] + " " + prose(rng, 12) + " " + passages_[1]]
+    rows = []
+    for i in range(160):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts += [prose(rng, rng.randrange(0, 30)), rng.choice(snippets) if rng.random() < 0.7 else rng.choice(passages_)]
+        rows.append((i, " ".join([*parts, prose(rng, rng.randrange(0, 60))])))
+    return rows
+
+
+def test_no_exact_passage_is_lost(spark):
+    rng = random.Random(31)
+    rows = boilerplate(rng) + [(900, rows0 := prose(rng, 70)), (901, rows0), (902, rows0.upper() + " x")]
+    got = passages.repeated_passages(frame(spark, rows).repartition(5)).collect()
+    w = {d: words(t) for d, t in rows}
+    held = defaultdict(set)
+    for d, x in w.items():
+        for i in range(len(x) - 49):
+            held[tuple(x[i : i + 50])].add((d, i))
+    covered, root = defaultdict(set), {d: d for d in w}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for r in got:
+        assert r["n_words"] >= 50 and r["jaccard"] >= 0.8
+        covered[r["doc_id"]] |= set(range(r["start_word"], r["start_word"] + r["n_words"]))
+        a, b = sorted((find(r["doc_id"]), find(r["first_doc_id"])))
+        root[b] = a
+    member = {r["doc_id"]: r["first_doc_id"] for r in got if r["n_words"] == len(w[r["doc_id"]]) == len(w[r["first_doc_id"]])}
+    groups = [v for v in held.values() if len(v) > 1]
+    assert len(groups) > 100
+    for group in groups:
+        assert len({find(d) for d, _ in group}) == 1
+        for d, i in group:
+            assert d in member or set(range(i, i + 50)) <= covered[d], (d, i)
+
+
+def test_repeats_within_a_text(spark):
+    rng = random.Random(33)
+    twice, line = prose(rng, 55), prose(rng, 9)
+    rows = [(1, prose(rng, 30) + " " + twice + " " + prose(rng, 70) + " " + twice + " " + prose(rng, 5)), (2, " ".join([line] * 40)), (3, "a " * 30_000), (4, prose(rng, 200)), (5, prose(rng, 20) + " " + changed(rng, twice, 0) + " end")]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    own = {(r["doc_id"], r["start_word"], r["n_words"], r["first_start"]) for r in got if r["doc_id"] == r["first_doc_id"]}
+    assert (1, 155, 55, 30) in own and (2, 9, 351, 0) in own and (3, 1, 29_999, 0) in own and not any(r["doc_id"] == 4 for r in got)
+    assert any(r["doc_id"] == 5 and r["first_doc_id"] == 1 or r["doc_id"] == 1 and r["first_doc_id"] == 5 for r in got) and len(got) < 12
+
+
 def test_many_short_texts_in_one_partition(spark):
     # 9900 new texts in each Arrow batch of 10,000 rows: portions would pass 65,536 sets
     rows = []
