@@ -5,9 +5,10 @@ vectors in a sorted array. A query descends every tree to its longest prefix mat
 trees ascend together, a bit at a time, each step taking in the longer ranges of shorter prefixes, until the
 ranges hold enough candidates and enough different ones. Candidates are ranked by their exact inner product in double precision.
 
-Vectors are dealt in blocks; a block's forest is built, searched and dropped in one task. Queries are sent to
-the tasks in portions of a bounded size, one pass over the blocks for each portion, and a query's best of all
-blocks are merged by a grouped top-k.
+Vectors are dealt in blocks once and written; a block's forest is built, searched and dropped within a task.
+Queries go to the tasks in portions of a bounded size. A portion is one pass over the written blocks, without
+a shuffle of vectors; a task keeps each query's best of its blocks, and those of all tasks are merged by a
+grouped top-k.
 """
 
 from __future__ import annotations
@@ -100,23 +101,41 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _search(queries, k: int, trees: int, share: float, least: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids, q = queries.value
-        x, own = _matrix(table["embedding"]), table["vec_id"].to_numpy()
-        out: list[list] = [[], [], []]
-        forest = Forest(x, trees)
-        ranked = np.sort(own)  # rows of the query's own id are no candidates
-        need = k + np.searchsorted(ranked, ids, side="right") - np.searchsorted(ranked, ids)
-        for i, rows in enumerate(forest.candidates(q, share, least, need)):
-            rows = rows[own[rows] != ids[i]]
-            score = exact(x[rows], q[i])
-            top = _best(score, own[rows], k)
-            out[0].append(np.full(len(top), ids[i]))
-            out[1].append(own[rows][top])
-            out[2].append(score[top])
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], ["query_id", "vec_id", "score"])
+def _search(queries, k: int, trees: int, share: float, least: int, block_rows: int):
+    """The best of a task's blocks for each query. Rows come block by block."""
+    def run(batches):
+        ids, own, q, by_id = queries.value
+        best = np.full((len(ids), k), -np.inf)
+        who = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+        def block(x, vec_id, row):
+            names, mine = (vec_id, ids) if by_id else (row, own)
+            ranked = np.sort(names)  # a query's own rows are no candidates
+            need = k + np.searchsorted(ranked, mine, side="right") - np.searchsorted(ranked, mine)
+            for i, rows in enumerate(Forest(x, trees).candidates(q, share, least, need)):
+                rows = rows[names[rows] != mine[i]]
+                score, found = np.concatenate((best[i], exact(x[rows], q[i]))), np.concatenate((who[i], vec_id[rows]))
+                top = _best(score, found, k)
+                best[i, : len(top)], who[i, : len(top)] = score[top], found[top]
+
+        held, rows, now = [], 0, None
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                # a block that outgrows its size, of rows that are all alike, say, is searched in parts
+                if held and (number[a] != now or rows >= 2 * block_rows):
+                    block(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, rows = [], 0
+                part, now = batch.slice(a, b - a), number[a]
+                held.append((_matrix(part.column(3)), part.column(1).to_numpy(), part.column(2).to_numpy()))
+                rows += b - a
+        if held:
+            block(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        at, rank = np.nonzero(best > -np.inf)
+        for i in range(0, len(at), 50_000):
+            a, r = at[i : i + 50_000], rank[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(ids[a]), pa.array(who[a, r]), pa.array(best[a, r])], ["query_row", "query_id", "vec_id", "score"])
     return run
 
 
@@ -127,32 +146,39 @@ def valid(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(sound, F.lit(False)))
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, share: float = SHARE, least: int = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For each row of ``queries`` its ``k`` nearest found in ``embeddings``: query_id, rank, vec_id, score.
+def nearest(embeddings: DataFrame, queries: DataFrame | str, k: int = 20, trees: int = TREES, share: float = SHARE, least: int = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The ``k`` nearest found in ``embeddings(vec_id, embedding)`` for each query: query_id, rank, vec_id, score.
 
-    Both have vec_id and embedding. Nearness is the largest inner product, ties go to the smaller vec_id; a
-    query's own id is no candidate. Vectors that are null, empty, zero, or hold null or non-finite components
-    take no part. Vectors of another length than the query's take no part in its search. Repeated rows are
-    candidates each. Other columns are not read. Empty tables give no rows.
+    ``queries`` is a condition on vec_id that picks rows of ``embeddings``: each is a query by itself, and all
+    rows but its own are candidates. Or it is a table of the same columns: each of its rows is a query, and
+    rows of ``embeddings`` with its id are no candidates. Nearness is the largest inner product, ties go to the
+    smaller vec_id. Repeated rows are candidates each. Vectors that are null, empty, zero, or hold null or
+    non-finite components take no part, nor do rows without an id. Vectors of another length than the query's
+    take no part in its search. Other columns are not read. Empty tables give no rows.
     """
     spark = embeddings.sparkSession
-    rows = written(valid(embeddings).withColumn("size", F.size("embedding")), "forest-vectors")
-    asked = written(valid(queries).withColumn("size", F.size("embedding")), "forest-queries")
+    numbered = lambda df, name: written(valid(df).withColumn("size", F.size("embedding")).withColumn("row", F.monotonically_increasing_id()), name)
+    rows = numbered(embeddings, "forest-vectors")
+    by_id = isinstance(queries, DataFrame)
+    asked = numbered(queries, "forest-queries") if by_id else rows.where(F.expr(queries))
+    have = {r[0]: r[1] for r in rows.groupBy("size").count().collect()}
+    sizes = [tuple(r) for r in asked.groupBy("size").count().orderBy("size").collect()]
     out = None
-    sizes = [(r[0], r[1]) for r in asked.groupBy("size").count().orderBy("size").collect()]
     for size, n in sizes:
-        have = rows.where(F.col("size") == size)
-        blocks = max(1, ceil(have.count() / block_rows))
-        dealt = have.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding", F.lit(SEED)), F.lit(blocks)).cast("int"))
+        if size not in have:
+            continue
+        blocks = max(1, ceil(have[size] / block_rows))
+        dealt = rows.where(F.col("size") == size).select(F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "row", "embedding")
+        dealt = written(dealt.repartition("block").sortWithinPartitions("block", "row"), "forest-blocks")
         portions = max(1, ceil(n * size * 8 / PORTION_BYTES))
         for p in range(portions):
-            part = asked.where((F.col("size") == size) & (F.pmod(F.xxhash64("vec_id"), F.lit(portions)) == p)).select("vec_id", "embedding").orderBy("vec_id").toArrow()
+            part = asked.where((F.col("size") == size) & (F.pmod(F.xxhash64("row"), F.lit(portions)) == p)).select("vec_id", "row", "embedding").orderBy("row").toArrow()
             if not part.num_rows:
                 continue
-            shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), _matrix(part["embedding"])))
-            found = dealt.select("vec_id", "embedding", "block").groupBy("block").applyInArrow(_search(shared, k, trees, share, least), "query_id long, vec_id long, score double")
+            shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), part["row"].to_numpy(), _matrix(part["embedding"]), by_id))
+            found = dealt.mapInArrow(_search(shared, k, trees, share, least, block_rows), "query_row long, query_id long, vec_id long, score double")
             out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

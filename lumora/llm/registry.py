@@ -52,8 +52,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,26 @@ def test_nearest_among_equal_vectors(spark):
         assert len(set(mine)) == 20 and mine[:14] == [i for i in range(15) if i != q]
 
 
+def test_each_query_row_is_a_query(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i % 90, v.tolist()) for i, v in enumerate(rng.standard_normal((100, 16)))] + [(20, [1.0] * 16), (20, [1.0] * 16)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(table, "vec_id % 20 = 0", k=12, block_rows=30).collect()
+    asked = [i for i, (d, _) in enumerate(rows) if d % 20 == 0]
+    want = []
+    for i in asked:
+        scored = sorted((-float(np.dot(rows[i][1], y)), d) for j, (d, y) in enumerate(rows) if j != i)
+        want += [(rows[i][0], r + 1, d, round(-s, 9)) for r, (s, d) in enumerate(scored[:12])]
+    # blocks of 30 are searched whole, so the result is exact
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
+
+
+def test_a_query_of_another_length(spark):
+    table = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in nearest(table, "vec_id % 20 = 0").collect()] == [(0, 1, 1, 2.0)]
+    assert nearest(table.limit(0), "vec_id % 20 = 0").count() == 0
+
+
 def test_nearest_with_few_vectors(spark):
     table = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<double>")
     got = nearest(table, table.where("vec_id = 0"), k=20).orderBy("rank").collect()
