@@ -5,10 +5,12 @@ substituted word at a 0 does not disturb a hit. The four masks below together hi
 in which any two are substituted (tests verify this). A hit of a document on an item fixes a diagonal;
 around it, document and item are compared word by word, and the overlap counts if some WINDOW aligned words
 of it agree in at least 80 %. Shorter items (of SHORTEST words or more) are sought by SHORT_MASK and must
-agree over their whole length but for one word. Items below SHORTEST words never match.
+agree over their whole length but for one word; those below SHORTEST words are sought by a hash of the whole
+item and must agree in every word.
 
-The benchmark is dealt in blocks of a bounded number of words; each block's hashes go to every task, and the
-documents are read once a block and never shuffled.
+Equal items are one. The hashes of a benchmark of up to ``block_chars`` characters go to every task, and
+documents are read once and never shuffled. Hashes of a larger one are joined by shuffle with those of the
+documents that pass a bit map of the benchmark's, and only texts with such a meeting are read again.
 """
 
 from __future__ import annotations
@@ -23,15 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm import _text as T
-from lumora.llm._shared import columns, small_batches
+from lumora.llm._shared import columns, small_batches, written
 
 U64 = np.uint64
 WINDOW, AGREE, SHORTEST = 13, 0.8, 8
 #: Positions of the 1s.
 MASKS = ((0, 1, 5, 6, 7, 8, 9), (0, 1, 3, 4, 5, 7, 8), (0, 3, 4, 6, 9, 10, 11), (0, 1, 2, 3, 6, 8, 10))
 SHORT_MASK = (0, 1, 2, 3)
-BLOCK_WORDS = 1_000_000
-_FILTER_BITS = 24
+#: Characters of a benchmark whose index is sent to every task.
+BLOCK_CHARS = 4_000_000
+#: Hits that are looked at together.
+MOST_HITS = 2_000_000
+_FILTER_BITS, _JOIN_BITS = 24, 27
+
+
+def _masks() -> list[tuple[tuple[int, ...], int, int]]:
+    """(mask, least words, most words) of the items that each is for; the last ones take items whole."""
+    out = [(m, WINDOW, 1 << 60) for m in MASKS] + [(SHORT_MASK, SHORTEST, WINDOW - 1)]
+    return out + [(tuple(range(n)), n, n) for n in range(1, SHORTEST)]
 
 
 def seed_hashes(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
@@ -60,8 +71,8 @@ def build_index(ids: list[int], texts: list[str | None]) -> Index:
     w = T.words(T.plain(pa.array(texts, pa.string())))
     each = [w.hashes[a:b] for a, b in zip(w.ptr[:-1], w.ptr[1:], strict=True)]
     seeds, filters = [], []
-    for k, mask in enumerate((*MASKS, SHORT_MASK)):
-        found = [(seed_hashes(h, mask, k), i) for i, h in enumerate(each) if (len(h) >= WINDOW if k < len(MASKS) else SHORTEST <= len(h) < WINDOW)]
+    for k, (mask, least, most) in enumerate(_masks()):
+        found = [(seed_hashes(h, mask, k), i) for i, h in enumerate(each) if least <= len(h) <= most]
         hashes = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
         item = np.concatenate([np.full(len(f[0]), f[1]) for f in found]) if found else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(f[0])) for f in found]) if found else np.zeros(0, np.int64)
@@ -74,8 +85,8 @@ def build_index(ids: list[int], texts: list[str | None]) -> Index:
     return Index(np.array(ids, np.int64), each, seeds, filters)
 
 
-def _hits(index: Index, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position in h, item, position in the item) of every seed hit."""
+def _diagonals(index: Index, h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Distinct rows (text, item, place of the item's first word in the text) of all seed hits; hits are listed in bounded numbers."""
     out = []
     for k, (mask, hashes, item, place) in enumerate(index.seeds):
         if not len(hashes):
@@ -85,9 +96,17 @@ def _hits(index: Index, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
         at = np.flatnonzero(index.filters[k][low >> 3] >> (low & 7).astype(np.uint8) & 1)
         a, b = np.searchsorted(hashes, mine[at]), np.searchsorted(hashes, mine[at], side="right")
         n = b - a
-        where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        out.append((np.repeat(at, n), item[where], place[where]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        total = np.cumsum(n)
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + MOST_HITS, side="right")))
+            m = n[i:j]
+            where = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(a[i:j], m)
+            pos = np.repeat(at[i:j], m)
+            text = np.searchsorted(ptr, pos, side="right") - 1
+            out.append(np.unique(np.stack((text, item[where], pos - ptr[text] - place[where]), 1), axis=0))
+            i = j
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
@@ -98,7 +117,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
         return None
     same = doc[a:b] == item[a - shift : b - shift]
     sums = np.concatenate(([0], np.cumsum(same)))
-    good = sums[window:] - sums[:-window] >= (ceil(AGREE * window) if len(item) >= WINDOW else window - 1)
+    good = sums[window:] - sums[:-window] >= (ceil(AGREE * window) if len(item) >= WINDOW else window - 1 if len(item) >= SHORTEST else window)
     at = np.flatnonzero(good)
     if not len(at):
         return None
@@ -111,13 +130,8 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
 
 def matches(index: Index, w: T.Words) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, words, agreeing words): the best overlap of each text with each item."""
-    pos, item, place = _hits(index, w.hashes)
-    if not len(pos):
-        return
-    text = np.searchsorted(w.ptr, pos, side="right") - 1
-    shift = pos - w.ptr[text] - place
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for t, i, s in np.unique(np.stack((text, item, shift), 1), axis=0):
+    for t, i, s in _diagonals(index, w.hashes, w.ptr):
         got = overlap(w.hashes[w.ptr[t] : w.ptr[t + 1]], index.words[i], int(s))
         if got:
             best = found.get((int(t), int(i)))
@@ -127,30 +141,103 @@ def matches(index: Index, w: T.Words) -> Iterator[tuple[int, int, int, int, int]
         yield t, i, *got
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    rows = columns(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), "text")
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, ceil(size / (4 * BLOCK_WORDS)))
-    for k in range(blocks):
-        # an item's key is its text, so one id with very many items cannot fill a block
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
-        yield build_index(part["item_id"].fill_null(-1).to_pylist(), part["text"].to_pylist())
+def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct (item_id, iid), distinct (iid, item) and the characters of the latter."""
+    rows = columns(benchmark, "item_id", "text").where("text is not null").select("item_id", "text", F.xxhash64("text").alias("iid"))
+    texts = rows.groupBy("iid").agg(F.first("text").alias("item"))
+    return rows.select("item_id", "iid").distinct(), texts, texts.agg(F.sum(F.length("item"))).first()[0] or 0
+
+
+def _shared_index(texts: DataFrame):
+    part = texts.orderBy("iid").toArrow()
+    return texts.sparkSession.sparkContext.broadcast(build_index(part["iid"].to_pylist(), part["item"].to_pylist()))
+
+
+_SEEDS = "hash long, who long, place long"
+
+
+def _seeds(bits=None):
+    """Seed hashes of texts (column 0) by their ids (column 1); with ``bits``, those that the map lets pass."""
+    def run(batches):
+        for batch in batches:
+            column, ids = T.plain(batch.column(0)), batch.column(1).to_numpy()
+            for a, b in T.slices(column):
+                w = T.words(column.slice(a, b - a))
+                size = np.diff(w.ptr)
+                for k, (mask, least, most) in enumerate(_masks()):
+                    h = seed_hashes(w.hashes, mask, k)
+                    at = np.arange(len(h))
+                    if bits is not None:
+                        low = (h >> U64(64 - _JOIN_BITS)).astype(np.int64)
+                        at = np.flatnonzero(bits.value[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                    text = np.searchsorted(w.ptr, at, side="right") - 1
+                    ok = at + mask[-1] < w.ptr[text + 1]
+                    if bits is None:
+                        ok &= (size[text] >= least) & (size[text] <= most)
+                    at, text = at[ok], text[ok]
+                    for i in range(0, len(at), 100_000):
+                        x, t = at[i : i + 100_000], text[i : i + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)), pa.array(ids[a:b][t]), pa.array(x - w.ptr[t])], ["hash", "who", "place"])
+    return run
+
+
+def _map(batches):
+    bits = np.zeros(1 << _JOIN_BITS - 3, np.uint8)
+    for batch in batches:
+        low = (batch.column(0).to_numpy().view(np.uint64) >> U64(64 - _JOIN_BITS)).astype(np.int64)
+        np.bitwise_or.at(bits, low >> 3, (1 << (low & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+
+def _compared(batches):
+    for batch in batches:
+        out = []
+        for k in range(batch.num_rows):
+            doc, item = (T.words(T.plain(batch.column(i).slice(k, 1))).hashes for i in (1, 3))
+            best = None
+            for shift in batch.column(4)[k].as_py():
+                got = overlap(doc, item, shift)
+                if got and (best is None or (got[2], -got[0]) > (best[2], -best[0])):
+                    best = got
+            if best:
+                out.append((batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), *best))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["did", "iid", "start_word", "n_words", "n_agree"])
+
+
+def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """did, iid, start_word, n_words, n_agree for ``texts(text, did)`` and ``items(iid, item)``, by a join of hashes."""
+    spark = texts.sparkSession
+    seeds = written(items.select("item", "iid").mapInArrow(_seeds(), _SEEDS), "bench-seeds")
+    merged = np.zeros(1 << _JOIN_BITS - 3, np.uint8)
+    for r in seeds.select("hash").coalesce(8).mapInArrow(_map, "bits binary").toLocalIterator():
+        merged |= np.frombuffer(r[0], np.uint8)
+    bits = spark.sparkContext.broadcast(merged)
+    hits = texts.select("text", "did").mapInArrow(_seeds(bits), _SEEDS).withColumnsRenamed({"who": "did", "place": "at"})
+    met = hits.join(seeds.withColumnRenamed("who", "iid"), "hash").select("did", "iid", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    met = written(met.groupBy("did", "iid").agg(F.collect_list("shift").alias("shifts")), "bench-meetings").withColumnsRenamed({"did": "d", "iid": "i"})
+    pairs = texts.groupBy("did").agg(F.first("text").alias("text")).join(met, F.col("did") == F.col("d")).join(items, F.col("iid") == F.col("i"))
+    return pairs.select("did", "text", "iid", "item", "shifts").mapInArrow(_compared, "did long, iid long, start_word long, n_words long, n_agree long")
 
 
-def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per document and item found in it: doc_id, item_id, start_word, n_words, n_agree (all long).
+def contaminations(documents: DataFrame, benchmark: DataFrame, block_chars: int | None = None) -> DataFrame:
+    """A row per document and item found in it: doc_id, item_id, start_word, n_words, n_agree (counts are long).
 
     ``documents(doc_id, text)``, ``benchmark(item_id, text)``; other columns are not read. Texts that are
-    null, empty or shorter than an item's window match nothing; a null doc_id stays null; a null item_id is
-    reported as -1; repeated rows are reported each. Either table empty: no rows.
+    null, empty or shorter than an item's window match nothing; a null doc_id or item_id stays null, and an
+    item_id keeps its type; repeated documents are reported each, repeated items once an id. Of several places
+    the one that agrees in most words counts, of equal ones the first. Either table empty: no rows.
     """
-    spark = documents.sparkSession
+    ids, items, size = _items(benchmark)
     rows = columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+    if size > (BLOCK_CHARS if block_chars is None else block_chars):
+        rows = rows.where("text is not null").withColumn("did", F.xxhash64("text"))
+        found = _joined(rows.select("text", "did"), items).withColumnRenamed("did", "d")
+        found = rows.select("doc_id", "did").join(found, F.col("did") == F.col("d"))
+    else:
+        shared = _shared_index(items)
 
-        def run(batches, shared=shared):
+        def run(batches):
             index = shared.value
             for batch in batches:
                 column, found = T.plain(batch.column(1)), []
@@ -158,27 +245,32 @@ def contaminations(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     found += [(a + t, int(index.ids[i]), *rest) for t, i, *rest in matches(index, T.words(column.slice(a, b - a)))]
                 if found:
                     who, item, *rest = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), *(pa.array(x, pa.int64()) for x in (item, *rest))], ["doc_id", "item_id", "start_word", "n_words", "n_agree"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), *(pa.array(x, pa.int64()) for x in (item, *rest))], ["doc_id", "iid", "start_word", "n_words", "n_agree"])
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, start_word long, n_words long, n_agree long")
-        out = part if out is None else out.unionByName(part)
-    return out
+        found = rows.mapInArrow(run, "doc_id long, iid long, start_word long, n_words long, n_agree long")
+    return found.join(ids.withColumnRenamed("iid", "i"), F.col("iid") == F.col("i")).select("doc_id", "item_id", "start_word", "n_words", "n_agree")
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``documents`` in which no item is found, with all their columns. Rows without text stay."""
-    spark = small_batches(documents.sparkSession)
+def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", block_chars: int | None = None) -> DataFrame:
+    """The rows of ``documents`` in which no item is found, with all their columns.
+
+    Rows without text stay; repeated rows stay or go alike; an empty benchmark leaves all, an empty table none.
+    """
+    small_batches(documents.sparkSession)
+    _, items, size = _items(benchmark)
+    if size > (BLOCK_CHARS if block_chars is None else block_chars):
+        rows = columns(documents, text).select(F.col(f"`{text}`").alias("text")).where("text is not null").withColumn("did", F.xxhash64("text"))
+        found = _joined(rows, items).select("did").distinct()
+        return documents.join(found, F.xxhash64(documents[f"`{text}`"]) == F.col("did"), "left_anti")
     at = documents.columns.index(text)
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+    shared = _shared_index(items)
 
-        def run(batches, shared=shared):
-            index = shared.value
-            for batch in batches:
-                column, keep = T.plain(batch.column(at)), np.ones(batch.num_rows, bool)
-                for a, b in T.slices(column):
-                    keep[[a + m[0] for m in matches(index, T.words(column.slice(a, b - a)))]] = False
-                yield batch.filter(pa.array(keep))
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            column, keep = T.plain(batch.column(at)), np.ones(batch.num_rows, bool)
+            for a, b in T.slices(column):
+                keep[[a + m[0] for m in matches(index, T.words(column.slice(a, b - a)))]] = False
+            yield batch.filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    return documents.mapInArrow(run, documents.schema)
