@@ -1,46 +1,72 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton on folded text.
 
-Folding lower-cases, undoes look-alike letters and digit substitutions, and leaves the words of a text
-separated by single spaces. The lexicon has whole words and word beginnings with weights; it is learnt from
-labelled rows by comparing how often a term opens or is a word in toxic and in clean texts. A term inside
-an exception phrase does not count. A text's matches, normalised by its length, become a score by a logistic
-function fitted on the same rows.
+Folding decomposes compatibility forms (full-width letters, ligatures), drops marks and invisible characters,
+undoes look-alike letters and the digits and signs that stand for letters, joins words that are spelled out
+letter by letter, and leaves the words of a text separated by single spaces. The lexicon has whole words:
+a general one of insults, and those that labelled rows add. A word is added if the share of texts that hold it
+differs so much between the labels that chance does not explain it; near copies among the labelled texts count
+once, and a word's weight is bounded by the number of texts that show it. A word inside an exception phrase
+does not count. A text's matches, normalised by its length, become a score by a logistic function fitted on
+the same rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumora.llm import _text as T
 from lumora.llm._shared import columns, small_batches
 from lumora.llm._text import plain
 
 #: Look-alike letters of other scripts, and digits and signs that stand for letters.
-LOOKALIKES = dict(zip("авеёкмнорстухіјѕԁɡαβεικνορτυχγ", "abeekmhopctyxijsdgabeikvoptuxy", strict=True))
-SUBSTITUTES = dict(zip("0134578@$", "oieastbas", strict=True))
-_FOLD = str.maketrans(LOOKALIKES | SUBSTITUTES)
+LOOKALIKES = dict(zip("авекмнорстухіјѕԁӏԛԝһɡɑɩοαβεικνρτυχγωłøđßæœıℓ", "abekmhopctyxijsdlqwhgaioabeikvptuxywlodsaoil", strict=True))
+SUBSTITUTES = dict(zip("0134578@$!|", "oieastbasil", strict=True))
+_MARKS = {c: None for c in range(0x300, 0x370)} | {c: None for c in (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF)}
+_FOLD = _MARKS | {ord(k): v for k, v in LOOKALIKES.items()}
+#: Before a letter all substitutes stand for letters, after one those that do not end sentences.
+_LEET = re.compile(r"[0134578@$!|]+(?=[a-z])|(?<=[a-z])[013457$@]+(?![a-z0-9@])")
+_LEET_TABLE = str.maketrans(SUBSTITUTES)
+_ASCII = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+_WORD = re.compile(r"[^\W_]+")
+_SPELLED = re.compile(r"(?: [a-z]){4,}(?= )")
 #: Phrases in which a term is meant otherwise.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser bracket")
-#: Where no labels are given.
-DEFAULT_TERMS = {w: 4.0 for w in ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting")}
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-SHORTEST, LONGEST = 3, 9
-#: Most labelled rows a lexicon is learnt from, and most terms kept.
-TRAIN_ROWS, TERMS = 24_000, 2_000
-#: Terms of toxic training texts that are compared with clean ones: the most frequent, a bounded table on the driver.
-CANDIDATES = 100_000
+EXCEPTIONS = (
+    "trash can", "trash cans", "trash bin", "trash bins", "trash bag", "trash bags", "trash collection", "trash pickup", "the trash out", "out the trash", "trash folder", "clown fish", "clown school", "circus clown", "rodeo clown",
+    "birthday clown", "class clown", "loser bracket", "losers bracket", "sore loser bracket", "loser of the match", "winner and loser", "winners and losers", "pond scum", "soap scum", "scum layer", "jackass penguin", "donkey and jackass",
+    "stupid simple", "pig farm", "garbage can", "garbage collection", "garbage collector", "garbage truck", "fool proof", "april fool", "april fools", "fool s gold", "crazy horse", "dumb bell", "dumb waiter", "deaf and dumb",
+)
+#: The general lexicon: plain insults, and words that are insults as a rule.
+DEFAULT_TERMS = {w: 4.0 for w in (
+    "idiot idiots idiotic moron morons moronic imbecile imbeciles stupid scum scumbag scumbags loser losers pathetic worthless disgusting dumbass dumbasses jackass asshole assholes bastard bastards bitch bitches "
+    "cretin cretins degenerate degenerates dimwit dimwits dipshit halfwit halfwits lowlife lowlifes nitwit nitwits shithead shitheads sleazebag sleazeball subhuman twat twats wanker wankers douchebag douchebags "
+    "dumbfuck fuckface fuckwit motherfucker motherfuckers arsehole arseholes numbskull numbskulls "
+    "arschloch vollidiot trottel dummkopf missgeburt drecksau wichser connard connasse salaud salope abruti imbecil gilipollas cabron pendejo subnormal"
+).split()} | {w: 2.0 for w in "dumb fool fools trash garbage clown clowns vermin filth filthy vile repulsive despicable contemptible jerk jerks creep creeps swine".split()}
+#: Most labelled rows a lexicon is learnt from.
+TRAIN_ROWS = 24_000
+#: A learnt word: least toxic texts that hold it, and least gain in log-likelihood (nats) over one rate for both labels.
+LEAST_TEXTS, LEAST_GAIN = 4, 12.0
 
 
 def fold(text: str) -> str:
     """The words of a folded text, each between single spaces."""
-    words = _WORD.findall(text.lower().translate(_FOLD))
-    return f" {' '.join(words)} " if words else " "
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).lower().translate(_FOLD)
+    text = _LEET.sub(lambda m: m[0].translate(_LEET_TABLE), text)
+    if text.isascii():
+        words = text.encode().translate(_ASCII).decode().split()
+    else:
+        words = _WORD.findall(text)
+    folded = f" {' '.join(words)} " if words else " "
+    return _SPELLED.sub(lambda m: " " + m[0].replace(" ", ""), folded)
 
 
 @dataclass
@@ -99,70 +125,36 @@ class Lexicon:
         return 1 / (1 + np.exp(-z))
 
 
-def _terms(text: str) -> tuple[Counter, int]:
-    """Occurrences of each possible term."""
-    folded = fold(text).split()
-    out: Counter = Counter()
-    for w, n in Counter(folded).items():
-        out[f" {w} "] += n
-        for k in range(SHORTEST, min(LONGEST, len(w)) + 1):
-            out[f" {w[:k]}"] += n
-    return out, len(folded)
+def _count_terms(batches):
+    """Per portion and word: texts of either label that hold it; the empty word stands for all texts."""
+    held: dict[str, list[int]] = {}
+    for batch in batches:
+        for text, toxic in zip(plain(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t in {"", *fold(text).split()}:
+                row = held.get(t)
+                if row is None:
+                    row = held[t] = [0, 0]
+                row[toxic] += 1
+            if len(held) > 150_000:
+                yield _counted(held)
+                held = {}
+    if held:
+        yield _counted(held)
 
 
-def _count_terms(toxic: int, among=None):
-    """Per portion and term: texts and occurrences in texts of one label; the empty term has texts and words."""
-    def run(batches):
-        wanted = among.value if among is not None else None
-        held: dict[str, list[int]] = {}
-        for batch in batches:
-            column, label = plain(batch.column(0)), batch.column(1).to_numpy()
-            for text in column.filter(pa.array(label == toxic)).to_pylist():
-                found, n = _terms(text)
-                found[""] = n
-                for t in found if wanted is None else found.keys() & wanted:
-                    row = held.get(t)
-                    if row is None:
-                        held[t] = [1, found[t]]
-                    else:
-                        row[0] += 1
-                        row[1] += found[t]
-                if len(held) > 150_000:
-                    yield _counted(held)
-                    held = {}
-        if held:
-            yield _counted(held)
-    return run
+def _counted(held: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), *(pa.array([r[i] for r in held.values()], pa.int64()) for i in (0, 1))], ["term", "clean", "toxic"])
 
 
-def _counted(held: dict[str, list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([r[0] for r in held.values()], pa.int64()), pa.array([r[1] for r in held.values()], pa.int64())], ["term", "texts", "n"])
-
-
-def _choose(rows: list[tuple], totals: tuple[int, int, int, int], terms: int) -> dict[str, float]:
-    """Weights of the terms that tell the labels apart best; of overlapping terms the better one."""
-    ct, cn, tt, tn = (max(1, x) for x in totals)
-    scored = []
-    for term, clean_texts, clean_n, toxic_texts, toxic_n in rows:
-        lift = np.log((toxic_n + 0.2) / tn) - np.log((clean_n + 0.2) / cn)
-        a, b = (toxic_texts + 0.5) / (tt + 1), (clean_texts + 0.5) / (ct + 1)
-        if lift < 1.5 or a <= 2 * b:
-            continue
-        mean = (toxic_texts + clean_texts) / (tt + ct)
-        gain = toxic_texts * np.log(a / mean) + (clean_texts * np.log(max(b, 1e-9) / mean) if clean_texts else 0)
-        scored.append((gain, -len(term), term, min(lift, 8.0)))
-    scored.sort(reverse=True)
-    chosen: dict[str, float] = {}
-    starts: set[str] = set()
-    for gain, _, term, lift in scored:
-        if len(chosen) == terms or gain < 12:
-            break
-        # a term that extends a chosen one or that a chosen one extends adds nothing
-        if any(term[:k] in chosen for k in range(2, len(term))) or term in starts:
-            continue
-        chosen[term] = float(lift)
-        starts.update(term[:k] for k in range(2, len(term)))
-    return chosen
+def _learnt(rows: DataFrame, clean: int, toxic: int) -> dict[str, float]:
+    """Weights of the words that tell the labels apart. ``rows``: term, clean, toxic (texts)."""
+    a, b = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
+    mean = (F.col("toxic") + F.col("clean")) / (toxic + clean)
+    likely = lambda n, of, rate: n * F.log(rate) + F.when(of > n, (of - n) * F.log(F.greatest(1 - rate, F.lit(1e-12)))).otherwise(0.0)
+    gain = likely(F.col("toxic"), F.lit(toxic), a) + likely(F.col("clean"), F.lit(clean), b) - likely(F.col("toxic"), F.lit(toxic), mean) - likely(F.col("clean"), F.lit(clean), mean)
+    found = rows.where((F.col("term") != "") & (F.col("toxic") >= LEAST_TEXTS) & (a > 4 * b)).select("term", "toxic", F.log(a / b).alias("lift"), gain.alias("gain")).where(F.col("gain") >= LEAST_GAIN)
+    # few texts show little: the weight is at most the log of one more than their number
+    return {r["term"]: float(min(r["lift"], np.log1p(r["toxic"]), 6.0)) for r in found.orderBy("term").collect()}
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-3) -> tuple[float, tuple[float, ...]]:
@@ -184,30 +176,43 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: int = TERMS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def _sketches(batches):
+    """Text, label and the least hashes of two kinds of its 5-word shingles, which near copies mostly share."""
+    for batch in batches:
+        column = plain(batch.column(0))
+        out = [[], []]
+        for a, b in T.slices(column):
+            for s in T.shingle_sets(T.words(column.slice(a, b - a)))[0]:
+                out[0].append(int(s[0]) >> 1 if len(s) else 0)
+                out[1].append(int(T.mix(s ^ np.uint64(1)).min()) >> 1 if len(s) else 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in out)], ["text", "toxic", "one", "two"])
+
+
+def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from ``labels(doc_id, toxic)`` of rows that are not held out; about ``train_rows`` of them at most.
 
-    Rows with null ids, labels or texts are left out. Without rows of both labels it is DEFAULT_TERMS.
+    Rows with null ids, labels or texts are left out, an id with both labels counts as toxic, and of near copies
+    one is taken. Without rows of both labels it is DEFAULT_TERMS with a fixed logistic function.
     """
     marked = columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where(~held_out(F.col("doc_id"))).withColumnRenamed("doc_id", "d")
-    n = marked.count()
-    if n > train_rows:
-        marked = marked.where(F.pmod(F.xxhash64("d", F.lit(17)), F.lit(1 << 30)) < int(train_rows / n * (1 << 30)))
     texts = columns(documents, "doc_id", "text").where("text is not null")
-    rows = texts.join(marked, F.col("doc_id") == F.col("d")).select("text", "toxic").persist()
-    spark = documents.sparkSession
-    schema, sums = "term string, texts long, n long", (F.sum("texts").alias("texts"), F.sum("n").alias("n"))
-    bad = rows.mapInArrow(_count_terms(1), schema).groupBy("term").agg(*sums).where("texts >= 4 or term = ''")
-    bad = {r[0]: (r[1], r[2]) for r in bad.orderBy(F.col("term") != "", F.desc("texts"), "term").limit(CANDIDATES).collect()}
-    among = spark.sparkContext.broadcast(frozenset(bad) | {""})
-    good = {r[0]: (r[1], r[2]) for r in rows.mapInArrow(_count_terms(0, among), schema).groupBy("term").agg(*sums).collect()}
-    totals = (*good.get("", (0, 0)), *bad.get("", (0, 0)))
-    if not totals[0] or not totals[2]:
+    rows = texts.join(marked, F.col("doc_id") == F.col("d")).select("text", "toxic").mapInArrow(_sketches, "text string, toxic int, one long, two long")
+    seed = lambda c: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(1 << 30))
+    n = rows.agg(F.count_distinct("one")).first()[0]
+    if n > train_rows:
+        rows = rows.where(seed("one") < int(train_rows / n * (1 << 30)))
+    first = F.min_by("text", F.xxhash64("text")).alias("text")
+    rows = rows.groupBy("one", "toxic").agg(first, F.min("two").alias("two")).groupBy("two", "toxic").agg(first).select("text", "toxic").persist()
+    counts = rows.mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
+    clean, toxic = next(((r["clean"], r["toxic"]) for r in counts.where("term = ''").collect()), (0, 0))
+    lexicon = Lexicon({f" {w} ": v for w, v in DEFAULT_TERMS.items()}, exceptions)
+    if not clean or not toxic:
         rows.unpersist()
-        return Lexicon({f" {w}": v for w, v in DEFAULT_TERMS.items()}, exceptions)
-    found = [(t, *good.get(t, (0, 0)), *bad[t]) for t in bad if t]
-    lexicon = Lexicon(_choose(found, totals, terms), exceptions)
+        counts.unpersist()
+        return lexicon
+    lexicon.weights |= {f" {w} ": v for w, v in _learnt(counts, clean, toxic).items()}
+    counts.unpersist()
 
     def measure(batches, lexicon=lexicon):
         for batch in batches:
@@ -230,7 +235,13 @@ def _scores(lexicon: Lexicon, at: int):
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted. Null and empty texts have the score of a text without matches."""
+    """Per row of ``documents(doc_id, text)``: doc_id, held_out, score, predicted.
+
+    Null and empty texts have the score of a text without matches; a null doc_id stays null and is not held
+    out. Repeated rows are scored each, alike. Texts are taken whole. Other columns are not read. An empty
+    table gives no rows; empty labels give the general lexicon.
+    """
+    small_batches(documents.sparkSession)
     lexicon = learn(documents, labels)
     rows = columns(documents, "doc_id", "text")
     scored = rows.mapInArrow(_scores(lexicon, 1), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, score double")
@@ -238,7 +249,10 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The rows of ``documents`` that score below ``limit``, with all their columns."""
+    """The rows of ``documents`` that score below ``limit``, with all their columns.
+
+    Rows without text stay; repeated rows stay or go alike; an empty table stays empty.
+    """
     small_batches(documents.sparkSession)
     lexicon = learn(documents, labels)
     at = documents.columns.index("text")
