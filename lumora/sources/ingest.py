@@ -1,8 +1,10 @@
 """Validated ingest of JSON bodies: all rows of a body or none.
 
-``metric_rows`` and ``log_rows`` check one body on the driver, as a request handler does. ``metric_frame`` and
-``log_frame`` check columns of bodies as DataFrame plans, for files and streams; a body with any error gives
-its errors and no rows.
+``metric_rows`` and ``log_rows`` check one body on the driver, as a request handler does, and name its errors.
+``metric_frame`` and ``log_frame`` check columns of bodies as DataFrame plans, for files and streams, by the
+same rules; a body with any error gives no rows. Bodies are parsed as VARIANT values, which keep their JSON
+types, so that nothing is coerced; a body is wrapped with its own digest behind it, which is read back only
+if the body was one JSON value and nothing more.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from lumora.sources.model import LINE_BYTES, check_labels, labels_key, valid_lab
 
 #: Largest bodies, in bytes.
 METRIC_BODY, LOG_BODY = 1 << 20, 4 << 20
-METRIC_JSON = "metrics ARRAY<STRUCT<name: STRING, labels: MAP<STRING, STRING>, timestamp_ms: BIGINT, value: DOUBLE>>"
-LOG_JSON = "streams ARRAY<STRUCT<stream: MAP<STRING, STRING>, values: ARRAY<ARRAY<STRING>>>>"
+#: More entries than such a body can hold: write order is (order of the body) * PLACES + place in the body.
+PLACES, LOG_PLACES = 1 << 15, 1 << 19
+#: A surrogate escape without its other half; an even number of backslashes before it escapes nothing.
+_LONE = r"(?<!\\)(?:\\\\)*+\\u[dD](?:[89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|[c-fC-F][0-9a-fA-F]{2})"
+_PAIRED = r"(?<!\\)((?:\\\\)*+)\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 
 
 class IngestError(QueryError):
@@ -42,13 +47,22 @@ def _body(raw: bytes, most: int) -> dict:
     try:
         text = raw.decode("utf-8")
         data = json.loads(text, parse_constant=lambda c: _fail(f"{c} is not JSON"))
-    except (UnicodeDecodeError, json.JSONDecodeError) as e:
+    except (UnicodeDecodeError, json.JSONDecodeError, RecursionError) as e:
         _fail(f"not JSON in UTF-8: {e}")
+    if re.search(_LONE, re.sub(_PAIRED, "", text)):
+        _fail("a surrogate stands alone")
     if not isinstance(data, dict):
         _fail("one JSON object is expected")
     return data
 
 
+def _finite(value: int | float) -> bool:
+    try:
+        return math.isfinite(float(value))
+    except OverflowError:
+        return False
+
+
 def metric_rows(raw: bytes) -> list[tuple[dict[str, str], int, float]]:
     """(labels with __name__, ts_ms, value) of ``{"metrics": [{name, labels, timestamp_ms, value}]}``."""
     found = _body(raw, METRIC_BODY).get("metrics")
@@ -60,15 +74,17 @@ def metric_rows(raw: bytes) -> list[tuple[dict[str, str], int, float]]:
         if not isinstance(m, dict):
             problem = "metrics", "an object is expected"
         else:
-            labels, ts, value = dict(m.get("labels") or {}), m.get("timestamp_ms"), m.get("value")
-            labels["__name__"] = m.get("name") or ""
-            if not all(isinstance(v, str) for v in labels.values()):
-                problem = "labels", "values must be strings"
+            labels, ts, value = m.get("labels"), m.get("timestamp_ms"), m.get("value")
+            sound = labels is None or isinstance(labels, dict)
+            labels = dict(labels or {}) if sound else {}
+            labels["__name__"] = m.get("name") if m.get("name") is not None else ""
+            if not sound or not all(isinstance(v, str) for v in labels.values()):
+                problem = "labels", "an object of strings is expected"
             elif ts is None or value is None:
                 problem = ("timestamp_ms" if ts is None else "value"), "required"
             elif isinstance(ts, bool) or not isinstance(ts, int) or not INT64_MIN <= ts <= INT64_MAX:
                 problem = "timestamp_ms", "a 64-bit integer is expected"
-            elif isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(float(value)):
+            elif isinstance(value, bool) or not isinstance(value, (int, float)) or not _finite(value):
                 problem = "value", "a number is expected"
             elif wrong := check_labels(labels, True):
                 problem = tuple(wrong.split(": ", 1))
@@ -85,8 +101,6 @@ def log_rows(raw: bytes, content_type: str | None = None) -> list[tuple[dict[str
     """(labels, ts_ns, line) of ``{"streams": [{"stream": {...}, "values": [["ns", "line"], ...]}]}``."""
     if content_type not in (None, "", "application/json"):
         _fail("application/json is expected", "content-type")
-    if re.search(rb"\\u[dD][89a-fA-F]", raw):
-        _check_surrogates(raw)
     streams = _body(raw, LOG_BODY).get("streams")
     if not isinstance(streams, list) or not streams:
         _fail("must not be empty", "streams")
@@ -97,6 +111,8 @@ def log_rows(raw: bytes, content_type: str | None = None) -> list[tuple[dict[str
             _fail("labels must be strings", "stream", i)
         if wrong := check_labels(labels, False):
             _fail(wrong, "stream", i)
+        if values is not None and not isinstance(values, list):
+            _fail("a list is expected", "values", i)
         for entry in values or []:
             if not isinstance(entry, list) or len(entry) != 2 or not all(isinstance(x, str) for x in entry):
                 _fail("an entry is a time and a line", "values", i)
@@ -108,37 +124,76 @@ def log_rows(raw: bytes, content_type: str | None = None) -> list[tuple[dict[str
     return rows
 
 
-def _check_surrogates(raw: bytes) -> None:
-    text = re.sub(rb"\\\\", b"", raw)
-    if re.search(rb"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F]", text):
-        _fail("a surrogate stands alone")
+def _checked(bodies: DataFrame, column: str, most: int) -> DataFrame:
+    """Column _body: the parsed body as VARIANT, or null if it is not one JSON value in UTF-8 of bounded size."""
+    bodies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last one counts
+    text = F.col(column)
+    sound = (F.octet_length(text) <= most) & F.is_valid_utf8(text) & ~F.regexp_replace(text, _PAIRED, "$1").rlike(_LONE)
+    mark = F.sha2(text, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    whole = F.try_variant_get(both, "$[1]", "string").eqNullSafe(mark)
+    return bodies.withColumn("_body", F.when(sound & whole, F.try_variant_get(both, "$[0]", "variant")))
+
+
+def _type(x: str) -> str:
+    """JSON type of a variant: null where there is no value at all."""
+    return f"schema_of_variant({x})"
+
+
+def _strings(x: str) -> str:
+    """Whether a variant is an object of strings."""
+    return f"({_type(x)} like 'OBJECT%' and forall(map_values(try_cast({x} as map<string, variant>)), v -> {_type('v')} = 'STRING'))"
+
+
+def _list(x: str) -> str:
+    """Whether a variant is a list, null or absent."""
+    return f"({x} is null or {_type(x)} = 'VOID' or {_type(x)} like 'ARRAY%')"
+
 
+def _text_map(x: str) -> str:
+    return f"transform_values(try_cast({x} as map<string, variant>), (k, v) -> cast(v as string))"
 
-def _checked(bodies: DataFrame, column: str, schema: str, most: int) -> DataFrame:
-    return bodies.withColumn("_size", F.octet_length(column)).withColumn("_body", F.from_json(column, schema, {"mode": "PERMISSIVE"})).withColumn("_fits", F.coalesce(F.col("_size") <= most, F.lit(False)))
 
+_NO_LABELS = "cast(map() as map<string, string>)"
 
 
 def metric_frame(bodies: DataFrame, column: str = "value", gen: Column | None = None) -> DataFrame:
-    """labels, labels_key, ts_ms, value, gen of valid bodies. ``gen`` orders bodies; places in a body come after it."""
-    found = _checked(bodies, column, METRIC_JSON, METRIC_BODY)
-    entry = F.transform("_body.metrics", lambda m, i: F.struct(F.map_concat(F.map_filter(F.coalesce(m["labels"], F.expr("cast(map() as map<string, string>)")), lambda k, v: k != "__name__"), F.create_map(F.lit("__name__"), F.coalesce(m["name"], F.lit("")))).alias("labels"), m["timestamp_ms"].alias("ts_ms"), m["value"].alias("value"), i.cast("long").alias("place")))
-    found = found.withColumn("_rows", entry)
-    good = F.col("_fits") & F.coalesce(F.size("_rows") > 0, F.lit(False)) & F.forall("_rows", lambda r: valid_labels(r["labels"], True) & r["ts_ms"].isNotNull() & r["value"].isNotNull() & ~F.isnan(r["value"]))
-    order = gen if gen is not None else F.lit(0).cast("long")
-    rows = found.where(F.coalesce(good, F.lit(False))).select(order.alias("_gen"), F.explode("_rows").alias("r"))
-    return rows.select("r.labels", labels_key(F.col("r.labels")).alias("labels_key"), "r.ts_ms", "r.value", (F.col("_gen") * F.lit(1 << 20) + F.col("r.place") + 1).alias("gen"))
+    """labels, labels_key, ts_ms, value, gen of valid bodies. ``gen`` orders bodies; places in a body come after it.
+
+    Without ``gen`` all bodies count as written at once, each in its own order.
+    """
+    found = _checked(bodies, column, METRIC_BODY).withColumn("_gen", gen if gen is not None else F.lit(0).cast("long"))
+    found = found.select("_gen", F.expr("try_variant_get(_body, '$.metrics', 'array<variant>')").alias("_list"))
+    part = lambda name: f"try_variant_get(e, '$.{name}', 'variant')"
+    number = f"({_type(part('value'))} in ('BIGINT', 'DOUBLE', 'FLOAT') or {_type(part('value'))} like 'DECIMAL%')"
+    labels = f"case when {part('labels')} is null or {_type(part('labels'))} = 'VOID' then {_NO_LABELS} when {_strings(part('labels'))} then {_text_map(part('labels'))} end"
+    name = f"case when {part('name')} is null or {_type(part('name'))} = 'VOID' then '' when {_type(part('name'))} = 'STRING' then try_variant_get(e, '$.name', 'string') end"
+    entry = f"""transform(_list, (e, i) -> named_struct(
+        'labels', map_concat(map_filter({labels}, (k, v) -> k <> '__name__'), map('__name__', {name})), 'sound', {_type('e')} like 'OBJECT%',
+        'ts_ms', case when {_type(part('timestamp_ms'))} = 'BIGINT' then try_variant_get(e, '$.timestamp_ms', 'bigint') end,
+        'value', case when {number} then try_variant_get(e, '$.value', 'double') end, 'place', cast(i as bigint)))"""
+    found = found.withColumn("_rows", F.expr(entry))
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    good = (F.size("_rows") > 0) & F.forall("_rows", lambda r: F.coalesce(r["sound"] & valid_labels(r["labels"], True) & r["ts_ms"].isNotNull() & finite(r["value"]), F.lit(False)))
+    rows = found.where(F.coalesce(good, F.lit(False))).select("_gen", F.explode("_rows").alias("r"))
+    return rows.select("r.labels", labels_key(F.col("r.labels")).alias("labels_key"), "r.ts_ms", "r.value", (F.col("_gen") * F.lit(PLACES) + F.col("r.place")).alias("gen"))
 
 
 def log_frame(bodies: DataFrame, column: str = "value", seq: Column | None = None) -> DataFrame:
-    """labels, labels_key, ts_ns, line, seq of valid bodies."""
-    found = _checked(bodies, column, LOG_JSON, LOG_BODY)
-    number = lambda x: F.try_to_number(x, F.lit("S9999999999999999999")).cast("decimal(38,0)")
-    entry_ok = lambda e: (F.size(e) == 2) & e[0].rlike(r"^[+-]?[0-9]{1,19}\z") & (number(e[0]) > 0) & (number(e[0]) <= F.lit(str(INT64_MAX)).cast("decimal(38,0)")) & e[1].isNotNull() & (F.octet_length(e[1]) <= LINE_BYTES)
-    stream_ok = lambda s: valid_labels(s["stream"], False) & F.coalesce(F.forall(s["values"], entry_ok), F.lit(True))
-    good = F.col("_fits") & F.coalesce(F.size("_body.streams") > 0, F.lit(False)) & F.forall("_body.streams", stream_ok)
-    order = seq if seq is not None else F.lit(0).cast("long")
-    rows = found.where(F.coalesce(good, F.lit(False))).select(order.alias("_seq"), F.posexplode("_body.streams").alias("i", "s"))
-    rows = rows.select("_seq", "i", "s.stream", F.posexplode("s.values").alias("j", "e"))
-    place = F.col("_seq") * F.lit(1 << 32) + F.col("i").cast("long") * F.lit(1 << 20) + F.col("j")
-    return rows.select(F.col("stream").alias("labels"), labels_key(F.col("stream")).alias("labels_key"), F.col("e")[0].cast("long").alias("ts_ns"), F.col("e")[1].alias("line"), place.alias("seq"))
+    """labels, labels_key, ts_ns, line, seq of valid bodies. ``seq`` orders bodies as ``gen`` does those of metrics."""
+    found = _checked(bodies, column, LOG_BODY).withColumn("_seq", seq if seq is not None else F.lit(0).cast("long"))
+    found = found.select("_seq", F.expr("try_variant_get(_body, '$.streams', 'array<variant>')").alias("_list"))
+    part = lambda name: f"try_variant_get(s, '$.{name}', 'variant')"
+    pair = f"({_type('e')} like 'ARRAY%' and size(try_cast(e as array<variant>)) = 2 and forall(try_cast(e as array<variant>), v -> {_type('v')} = 'STRING'))"
+    entry = f"case when {pair} then named_struct('ts', try_variant_get(e, '$[0]', 'string'), 'line', try_variant_get(e, '$[1]', 'string')) end"
+    values = f"transform(coalesce(try_variant_get(s, '$.values', 'array<variant>'), cast(array() as array<variant>)), e -> {entry})"
+    made = f"transform(_list, s -> named_struct('sound', {_type('s')} like 'OBJECT%' and {_list(part('values'))}, 'labels', case when {_strings(part('stream'))} then {_text_map(part('stream'))} end, 'values', {values}))"
+    found = found.withColumn("_streams", F.expr(made))
+    # times have a plus sign and leading zeros, if they like, and are positive 64-bit numbers
+    time = lambda e: F.regexp_replace(e["ts"], "^[+]?0*", "").try_cast("long")
+    entry_ok = lambda e: F.coalesce(e["ts"].rlike(r"^[+]?0*[1-9][0-9]{0,18}\z") & time(e).isNotNull() & (F.octet_length(e["line"]) <= LINE_BYTES), F.lit(False))
+    good = (F.size("_streams") > 0) & F.forall("_streams", lambda s: F.coalesce(s["sound"] & valid_labels(s["labels"], False) & F.forall(s["values"], entry_ok), F.lit(False)))
+    rows = found.where(F.coalesce(good, F.lit(False)))
+    flat = F.flatten(F.transform("_streams", lambda s: F.transform(s["values"], lambda e: F.struct(s["labels"].alias("labels"), time(e).alias("ts_ns"), e["line"].alias("line")))))
+    rows = rows.select("_seq", F.posexplode(flat).alias("place", "r"))
+    return rows.select("r.labels", labels_key(F.col("r.labels")).alias("labels_key"), "r.ts_ns", "r.line", (F.col("_seq") * F.lit(LOG_PLACES) + F.col("place")).alias("seq"))

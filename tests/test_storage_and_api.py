@@ -18,16 +18,46 @@ def body(*rows):
     return json.dumps({"metrics": [{"name": n, "labels": labels, "timestamp_ms": t, "value": v} for n, labels, t, v in rows]}).encode()
 
 
+SURROGATES = ("\\ud800", "\\ud83d\\ude00\\udc00", "\\udc00\\ud800", "\\\\\\ud800", "\\ud800\\\\udc00")
+
+
+def good_metrics():
+    return [
+        (body(("m", {"a": "1"}, 5, 2.5), ("m", {"__name__": "other"}, 6, 1)), [('{__name__="m", a="1"}', 5, 2.5), ('{__name__="m"}', 6, 1.0)]),
+        (b' {"metrics":[{"name":"n","labels":null,"timestamp_ms":-7,"value":1e3,"more":[1]}],"x":{}} \n', [('{__name__="n"}', -7, 1000.0)]),
+        (b'{"metrics":[{"name":"n","labels":{"a":"\\ud83d\\ude00 \\\\ud800"},"timestamp_ms":9223372036854775807,"value":0.1}]}', [('{__name__="n", a="\U0001f600 \\\\ud800"}', 2**63 - 1, 0.1)]),
+        (b'{"metrics":[{"name":"n","timestamp_ms":1,"value":1,"value":12345678901234567890123456789012345678901234567890}]}', [('{__name__="n"}', 1, 12345678901234567890123456789012345678901234567890.0)]),
+    ]
+
+
+def bad_metrics():
+    one = lambda **x: json.dumps({"metrics": [{"name": "m", "timestamp_ms": 1, "value": 1} | x]}).encode()
+    raw = lambda x: b'{"metrics":[{"name":"m","timestamp_ms":1,"value":' + x + b"}]}"
+    good = one()
+    return [
+        body(), b"{}", b"x", b"[]", b"", b"null", body(("0m", {}, 1, 1)), body(("m", {"__x": "1"}, 1, 1)), body(("m", {}, None, 1)), body(("m", {}, 1, None)), b'{"metrics":[]} {}', b'{"metrics":{}}', b'{"metrics":[1]}', b'{"metrics":[null]}',
+        good + b" {}", good + b"x", good + b"]", good + b',{"a":1}', b"\xef\xbb\xbf" + good, one(timestamp_ms=1.5), one(timestamp_ms=1.0), one(timestamp_ms="1"), one(timestamp_ms=True), one(timestamp_ms=2**63), one(value="1"), one(value=True), one(value=[]),
+        one(labels={"a": 1}), one(labels={"a": None}), one(labels={"a": {"b": "c"}}), one(labels=[["a", "b"]]), one(labels=""), one(labels=0), one(labels={"1a": "x"}), one(labels={"a": "x" * 65_536}), one(labels={f"a{i}": "" for i in range(255)}), one(name=None), one(name=5), one(name=["m"]),
+        raw(b"NaN"), raw(b"Infinity"), raw(b"-Infinity"), raw(b"1e400"), raw(b"1" * 400), raw(b"01"), raw(b"/**/1"), b"{'metrics':[]}", b"{" + b" " * (1 << 20) + b"}", b"[" * 100_000, body(("m", {}, 1, 1), ("0", {}, 1, 1)),
+        *[b'{"metrics":[{"name":"m","labels":{"a":"' + x.encode() + b'"},"timestamp_ms":1,"value":1}]}' for x in SURROGATES],
+    ]
+
+
 def test_metric_bodies(spark):
-    good = body(("m", {"a": "1"}, 5, 2.5), ("m", {"__name__": "other"}, 6, 1))
-    assert ingest.metric_rows(good) == [({"a": "1", "__name__": "m"}, 5, 2.5), ({"__name__": "m"}, 6, 1.0)]
-    bad = [body(), b"{}", b"x", b"[]", body(("0m", {}, 1, 1)), body(("m", {"__x": "1"}, 1, 1)), body(("m", {}, None, 1)), body(("m", {}, 1, None)), b'{"metrics":[]} {}', b'{"metrics":[{"name":"m","timestamp_ms":1.5,"value":1}]}', b"{" + b" " * (1 << 20) + b"}"]
+    good, bad = good_metrics(), bad_metrics()
+    for raw, want in good:
+        assert [(t, v) for _, t, v in ingest.metric_rows(raw)] == [x[1:] for x in want]
     for raw in bad:
         with pytest.raises(ingest.IngestError):
             ingest.metric_rows(raw)
-    frame = spark.createDataFrame([(x.decode(),) for x in [good, *bad[:8]]], "value string")
-    got = ingest.metric_frame(frame).collect()
-    assert sorted((r["labels_key"], r["ts_ms"], r["value"]) for r in got) == [('{__name__="m", a="1"}', 5, 2.5), ('{__name__="m"}', 6, 1.0)]
+    with pytest.raises(ingest.IngestError):
+        ingest.metric_rows(b'{"metrics":[{"name":"m\xff","timestamp_ms":1,"value":1}]}')
+    frame = lambda raws: ingest.metric_frame(spark.createDataFrame([(x.decode(),) for x in raws], "value string"))
+    for raw in bad:
+        assert frame([raw]).collect() == [], raw[:80]
+    got = frame([x for x, _ in good]).collect()
+    assert sorted((r["labels_key"], r["ts_ms"], r["value"]) for r in got) == sorted(x for _, want in good for x in want)
+    assert ingest.metric_frame(spark.createDataFrame([(b'{"metrics":[{"name":"m","labels":{"a":"\xff"},"timestamp_ms":1,"value":1}]}',)], "v binary").selectExpr("cast(v as string) AS value")).count() == 0
     with pytest.raises(ingest.IngestError) as e:
         ingest.metric_rows(body(("m", {}, 1, 1), ("0", {}, 1, 1), ("m", {}, None, 1)))
     assert [x["index"] for x in e.value.errors] == [1, 2]
@@ -35,17 +65,28 @@ def test_metric_bodies(spark):
 
 def test_log_bodies(spark):
     push = lambda values, labels={"a": "b"}: json.dumps({"streams": [{"stream": labels, "values": values}]}).encode()  # noqa: E731, B006
-    good = push([["5", "x"], ["6", ""]])
-    assert ingest.log_rows(good, "application/json") == [({"a": "b"}, 5, "x"), ({"a": "b"}, 6, "")]
-    assert ingest.log_rows(push([])) == []
-    bad = [push([["0", "x"]]), push([["-1", "x"]]), push([["x", "x"]]), push([["1", None]]), push([["1", "x", {}]]), push([["1"]]), push([["1", "x"]], {}), push([["1", "x"]], {"1": "x"}), push([["1", "x" * 262_145]]), push([["9" * 19, "x"]]), b'{"streams":[]}']
-    for raw in [*bad, b'{"streams":[{"stream":{"a":"b"},"values":[["1","\\ud800"]]}]}', b"\xff", good + b"{}"]:
+    good = [(push([["5", "x"], ["+006", ""]]), [(5, "x"), (6, "")]), (push([]), []), (push(None), []), (b'{"streams":[{"stream":{"a":"b"},"values":[["00000000000000000000000000000009223372036854775807","\\ud83d\\ude00"]]},{"stream":{"c":""}}]}', [(2**63 - 1, "\U0001f600")])]
+    for raw, want in good:
+        assert [x[1:] for x in ingest.log_rows(raw, "application/json")] == want
+    bad = [
+        push([["0", "x"]]), push([["-1", "x"]]), push([["x", "x"]]), push([["1.0", "x"]]), push([[" 1", "x"]]), push([["1", None]]), push([[1, "x"]]), push([["1", 5]]), push([["1", "x", {}]]), push([["1"]]), push([["1", "x"]], {}), push([["1", "x"]], {"1": "x"}), push([["1", "x"]], {"a": 1}),
+        push([["1", "x"]], None), push([["1", "x"]], [["a", "b"]]), push([["1", "x" * 262_145]]), push([["9" * 19, "x"]]), push({}), push(""), push(0), push(["1x"]), push([{"0": "1"}]), b'{"streams":[]}', b'{"streams":[5]}', b"", push([]) + b"{}", push([]) + b"]", push([["1", "x"], ["0", "y"]]),
+        *[b'{"streams":[{"stream":{"a":"b"},"values":[["1","' + x.encode() + b'"]]}]}' for x in SURROGATES],
+    ]
+    for raw in [*bad, b"\xff"]:
         with pytest.raises(ingest.IngestError):
             ingest.log_rows(raw)
     with pytest.raises(ingest.IngestError):
-        ingest.log_rows(good, "text/plain")
-    got = ingest.log_frame(spark.createDataFrame([(x.decode(),) for x in [good, *bad]], "value string")).collect()
-    assert sorted((r["ts_ns"], r["line"]) for r in got) == [(5, "x"), (6, "")]
+        ingest.log_rows(good[0][0], "text/plain")
+    frame = lambda raws: ingest.log_frame(spark.createDataFrame([(x.decode(),) for x in raws], "value string"))
+    for raw in bad:
+        assert frame([raw]).collect() == [], raw[:80]
+    assert sorted((r["ts_ns"], r["line"]) for r in frame([x for x, _ in good]).collect()) == sorted(x for _, want in good for x in want)
+
+
+def test_places_in_a_body_fit():
+    # the shortest entries of the largest bodies
+    assert ingest.METRIC_BODY // len('{"name":"m","timestamp_ms":1,"value":1},') < ingest.PLACES and ingest.LOG_BODY // len('["1",""],') < ingest.LOG_PLACES
 
 
 def test_compaction_plan():
