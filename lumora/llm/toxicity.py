@@ -196,9 +196,13 @@ def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
     """
     marked = columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marked = marked.where(~held_out(F.col("doc_id"))).withColumnRenamed("doc_id", "d")
-    texts = columns(documents, "doc_id", "text").where("text is not null")
-    rows = texts.join(marked, F.col("doc_id") == F.col("d")).select("text", "toxic").mapInArrow(_sketches, "text string, toxic int, one long, two long")
     seed = lambda c: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(1 << 30))
+    n = marked.count()
+    if n > train_rows:
+        marked = marked.where(seed("d") < int(train_rows / n * (1 << 30)))
+    texts = columns(documents, "doc_id", "text").where("text is not null")
+    # about train_rows ids go to every task; texts travel only once their number is bounded, too
+    rows = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("d")).select("text", "toxic").mapInArrow(_sketches, "text string, toxic int, one long, two long")
     n = rows.agg(F.count_distinct("one")).first()[0]
     if n > train_rows:
         rows = rows.where(seed("one") < int(train_rows / n * (1 << 30)))
