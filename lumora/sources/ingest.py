@@ -162,7 +162,7 @@ def metric_frame(bodies: DataFrame, column: str = "value", gen: Column | None =
 
     Without ``gen`` all bodies count as written at once, each in its own order.
     """
-    found = _checked(bodies, column, METRIC_BODY).withColumn("_gen", gen if gen is not None else F.lit(0).cast("long"))
+    found = _checked(bodies.select(F.col(column).alias("_text"), (gen if gen is not None else F.lit(0).cast("long")).alias("_gen")), "_text", METRIC_BODY)
     found = found.select("_gen", F.expr("try_variant_get(_body, '$.metrics', 'array<variant>')").alias("_list"))
     part = lambda name: f"try_variant_get(e, '$.{name}', 'variant')"
     number = f"({_type(part('value'))} in ('BIGINT', 'DOUBLE', 'FLOAT') or {_type(part('value'))} like 'DECIMAL%')"
@@ -181,7 +181,7 @@ def metric_frame(bodies: DataFrame, column: str = "value", gen: Column | None =
 
 def log_frame(bodies: DataFrame, column: str = "value", seq: Column | None = None) -> DataFrame:
     """labels, labels_key, ts_ns, line, seq of valid bodies. ``seq`` orders bodies as ``gen`` does those of metrics."""
-    found = _checked(bodies, column, LOG_BODY).withColumn("_seq", seq if seq is not None else F.lit(0).cast("long"))
+    found = _checked(bodies.select(F.col(column).alias("_text"), (seq if seq is not None else F.lit(0).cast("long")).alias("_seq")), "_text", LOG_BODY)
     found = found.select("_seq", F.expr("try_variant_get(_body, '$.streams', 'array<variant>')").alias("_list"))
     part = lambda name: f"try_variant_get(s, '$.{name}', 'variant')"
     pair = f"({_type('e')} like 'ARRAY%' and size(try_cast(e as array<variant>)) = 2 and forall(try_cast(e as array<variant>), v -> {_type('v')} = 'STRING'))"

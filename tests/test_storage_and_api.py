@@ -1,10 +1,13 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.api import LogApi, MetricApi, health
+from lumora import api as surfaces
+from lumora.api import LogApi, MetricApi, health, ready
 from lumora.functions.errors import QueryError
+from lumora.operators.head import LogHead, MetricHead
 from lumora.operators.logs import LogEngine
 from lumora.operators.maintenance import Block, BlockStore, FlushPolicy, LogStore, compaction_ranges, expired, plan_compaction
 from lumora.operators.metrics import MetricEngine
@@ -150,6 +153,130 @@ def test_stream_restarts_where_it_ended(spark, tmp_path):
     assert rows.groupBy("ts_ms").agg(F.max_by("value", "gen").alias("v")).where("ts_ms = 1").first()["v"] == 2.0
 
 
+def test_batches_number_their_bodies(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(4):  # eight bodies of one series and time, in four files
+        (tmp_path / "in" / f"{k}.json").write_bytes(body(("m", {}, 1, 2 * k)) + b"\n" + body(("m", {}, 1, 2 * k + 1)))
+        os.utime(tmp_path / "in" / f"{k}.json", (1000 + k, 1000 + k))
+    streaming.ingest(streaming.read_bodies(spark, f"{tmp_path}/in"), "metrics", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert [r["value"] for r in sorted(rows, key=lambda r: r["gen"])] == [float(i) for i in range(8)]
+
+
+def test_log_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = lambda *rows: json.dumps({"streams": [{"stream": {"a": "b"}, "values": [[str(t), x] for t, x in rows]}]}).encode()
+    (tmp_path / "in" / "1.json").write_bytes(line((5, "x"), (5, "y"), (5, "x")) + b"\n" + line((0, "bad")) + b"\n" + line((7, "z")))
+    for _ in range(2):
+        streaming.ingest(streaming.read_bodies(spark, f"{tmp_path}/in"), "logs", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert [(r["ts_ns"], r["line"]) for r in sorted(rows, key=lambda r: r["seq"])] == [(5, "x"), (5, "y"), (5, "x"), (7, "z")]
+
+
+def test_continuous_counts(spark, tmp_path):
+    schema = "level string, ts_ns long, at timestamp"
+    rows = spark.createDataFrame([("a", 5, 1), ("a", 5, 1), ("a", 7, 2), ("b", 30, 3)], "level string, ts_ns long, s int").selectExpr("level", "ts_ns", "timestamp_seconds(s) AS at")
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = streaming.once(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "at", "1 hour", "level", "ts_ns")
+    query = streaming.counts_by_window(seen, "level", 5, 0, 20, 5).writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(tuple, spark.table("counts").collect())) == [("a", 5, 1), ("a", 10, 1)]
+
+
+def test_metrics_are_stored_before_they_are_answered(spark, tmp_path):
+    root = f"file://{tmp_path}/metrics"
+    api = MetricApi(head=MetricHead(spark, root))
+    ask = lambda a, q="m": {tuple(sorted(r["metric"].items())): r["value"][1] for r in a.query({"query": q, "time": "100"})[1]["data"]["result"]}
+    assert api.ingest(body(("m", {"a": "1"}, 1000, 1), ("m", {"a": "2"}, 1000, 5)))[0] == 204
+    assert api.ingest(body(("m", {"a": "1"}, 1000, 2), ("0", {}, 1, 1)))[0] == 400
+    one, two = (("__name__", "m"), ("a", "1")), (("__name__", "m"), ("a", "2"))
+    assert ask(api) == {one: "1", two: "5"}
+    assert api.ingest(body(("m", {"a": "1"}, 1000, 3), ("m", {"a": "1"}, 1000, 4)))[0] == 204 and ask(api) == {one: "4", two: "5"}
+    # a store that starts anew holds the same, and goes on counting
+    again = MetricHead(spark, root)
+    assert again.next == 3 and ask(MetricApi(head=again)) == {one: "4", two: "5"}
+    again.maintain(again.last_flush + 1000)
+    assert again.counters.done["flushes"] == 0 and len(again._bodies()) == 2
+    again.maintain(again.last_flush + 120_000)
+    api = MetricApi(head=again)
+    assert again._bodies() == [] and len(again.blocks.blocks()) == 1 and ask(api) == {one: "4", two: "5"}
+    assert api.ingest(body(("m", {"a": "1"}, 1000, 9)))[0] == 204 and MetricHead(spark, root).next == 4 and ask(api) == {one: "9", two: "5"}
+    again.maintain(last=True)
+    assert len(again.blocks.blocks()) == 1 and again.blocks.blocks()[0].level == 2 and ask(api) == {one: "9", two: "5"}
+    text = api.self_metrics()
+    assert "obs_flushes_total 2\n" in text and "obs_compactions_total 1\n" in text and "obs_blocks_total 1\n" in text and 'obs_maintenance_seconds_count{phase="flush"} 2\n' in text
+    again.maintain(10**12, retention=1000)
+    assert ask(api) == {} and api.series(["m"])[1]["data"] == [] and again.counters.done["blocks_retired"] == 1
+    assert ready(again)[0] == 200
+
+
+def test_a_flush_that_is_cut_short_is_repeated(spark, tmp_path):
+    head = MetricHead(spark, f"file://{tmp_path}/m")
+    head.append(body(("m", {}, 1, 1)))
+    head.append(body(("m", {}, 1, 2)))
+    series, samples = head._frames(head._held(head._bodies()))
+    head.blocks.flush(samples, series)  # and then the process ends
+    head = MetricHead(spark, f"file://{tmp_path}/m")
+    assert head.next == 3
+    head.maintain(last=True)
+    data = head.data()
+    assert head._bodies() == [] and data.series.count() == 1
+    assert MetricEngine(data).query("m", 10).first()["value"] == 2.0
+
+
+def test_logs_are_stored_before_they_are_answered(spark, tmp_path):
+    head = LogHead(spark, f"file://{tmp_path}/logs")
+    api = LogApi(head=head, now=lambda: 10**11)
+    line = lambda *rows: json.dumps({"streams": [{"stream": {"a": "b"}, "values": [[str(t), x] for t, x in rows]}]}).encode()
+    assert api.push(line((5 * 10**9, "x"), (6 * 10**9, "y")), "application/json")[0] == 204 and api.push(line((0, "x")))[0] == 400
+    ask = lambda: api.query_range({"query": '{a="b"}', "start": "1", "end": "10", "direction": "forward"})[1]["data"]["result"]
+    want = [{"stream": {"a": "b"}, "values": [[str(5 * 10**9), "x"], [str(6 * 10**9), "y"]]}]
+    assert ask() == want
+    head.maintain(last=True)
+    assert head._bodies() == [] and ask() == want
+    assert api.push(line((5 * 10**9, "x")))[0] == 204 and ask() == want  # repeated, across block and log
+    assert api.labels()[1]["data"] == ["a"] and LogApi(head=LogHead(spark, f"file://{tmp_path}/logs"), now=lambda: 10**11).label_values("a")[1]["data"] == ["b"]
+
+
+def test_failures_are_answers(spark, monkeypatch):
+    class Broken:
+        @property
+        def data(self):
+            raise OSError("the disk is gone")
+
+        def query(self, *_):
+            raise OSError("the disk is gone")
+
+        probe = query
+
+    broken = MetricApi(Broken())
+    assert broken.query({"query": "m", "time": "1"}) == (500, {"status": "error", "errorType": "execution", "error": "the disk is gone"})
+    assert broken.labels()[0] == 500 and LogApi(Broken()).labels() == (500, "the disk is gone") and LogApi(Broken()).query({"query": '{a="b"}', "time": "1"}) == (500, "the disk is gone")
+    assert ready(Broken()) == (503, {"status": "unavailable", "error": "the disk is gone"})
+    monkeypatch.setattr(surfaces, "MOST_ROWS", 1)
+    api = MetricApi(MetricEngine(metrics(spark, [({"__name__": "m", "a": "1"}, [(1000, 99)]), ({"__name__": "m", "a": "2"}, [(1000, 99)])])))
+    assert api.query({"query": "m", "time": "2"})[0] == 400 and api.query({"query": "sum(m)", "time": "2"})[0] == 200
+
+
+def test_manifest_is_rebuilt(spark, tmp_path):
+    store = BlockStore(spark, f"file://{tmp_path}/store")
+    frame = lambda rows: spark.createDataFrame(rows, SAMPLES)
+    blocks = [store.flush(frame([(1, 10, 1.0, 1)])), store.flush(frame([(1, 20, 2.0, 2)]))]
+    store.spark.range(1).write.parquet(f"file://{tmp_path}/store/data/unfinished")
+    store._drop(blocks[:1])
+    (tmp_path / "store" / "manifest" / f"{blocks[1].id}.json").unlink()
+    assert store.blocks() == [] and store.rebuild() == [blocks[1]] == store.blocks() and store.rebuild() == []
+    store.check(blocks[1])
+    with pytest.raises(RuntimeError):
+        store.check(Block(blocks[1].id, 0, 20, 1))
+    # a compaction that ended before its sources went
+    third = store.flush(frame([(1, 30, 3.0, 3)]))
+    made = store._write(store.scan(), 2, (blocks[1].id, third.id))
+    store.maintain(0)
+    assert store.blocks() == [made] and store.scan().count() == 2
+
+
 def test_metric_api(spark):
     api = MetricApi(MetricEngine(metrics(spark, [({"__name__": "m", "a": "1"}, [(1000, 99), (3000, 2.5)])])))
     assert api.query({"query": "m", "time": "2"}) == (200, {"status": "success", "data": {"resultType": "vector", "result": [{"metric": {"__name__": "m", "a": "1"}, "value": [1.0, "99"]}]}, "warnings": []})
@@ -161,7 +288,8 @@ def test_metric_api(spark):
         assert api.query_range(bad)[0] == 400
     assert api.series(["m"])[1]["data"] == [{"__name__": "m", "a": "1"}] and api.series([])[0] == 400
     assert api.labels()[1]["data"] == ["__name__", "a"] and api.label_values("a", ["m"], {"start": "10"})[1]["data"] == []
-    assert "obs_active_series 1\n" in api.self_metrics() and api.ingest(body(("m", {}, 1, 1)))[0] == 204 and api.ingest(b"{}")[0] == 400
+    assert "obs_active_series 1\n" in api.self_metrics() and api.ingest(body(("m", {}, 1, 1)))[0] == 500 and api.ingest(b"{}")[0] == 400
+    assert api.query({"query": "(" * 5000 + "m" + ")" * 5000, "time": "2"})[0] == 400
 
 
 def test_log_api(spark):
@@ -176,4 +304,4 @@ def test_log_api(spark):
     for bad in ({"query": "vector(1)"}, {"query": '{a="1"}', "interval": "5s"}, {"query": '{a="1"}', "limit": "0"}, {"query": '{a="1"}', "direction": "up"}, {"query": '{a="1"}', "start": "10", "end": "5"}, {"query": "{}"}):
         assert api.query_range(bad)[0] == 400
     assert api.labels()[1]["data"] == ["a"] and api.label_values("a")[1]["data"] == ["1", "2"]
-    assert api.push(b'{"streams":[{"stream":{"a":"b"},"values":[["1","x"]]}]}')[0] == 204
+    assert api.push(b'{"streams":[{"stream":{"a":"b"},"values":[["1","x"]]}]}')[0] == 500 and api.push(b"{}")[0] == 400
