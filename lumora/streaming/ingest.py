@@ -14,24 +14,59 @@ from lumora.operators.ticks import Ticks
 from lumora.sources.ingest import log_frame, metric_frame
 
 
+#: What orders bodies besides their place in a file.
+_FILE = ("file_modification_time", "file_path", "file_block_start")
+#: Bodies of a batch, more than any trigger takes in.
+BODIES = 1 << 24
+
+
 def read_bodies(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """JSON bodies, one a line."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    """JSON bodies, one a line, with the file that each is from."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select("value", *[F.col(f"_metadata.{c}").alias(c) for c in _FILE])
+
+
+def numbered(batch: DataFrame) -> DataFrame:
+    """A finished batch with column ``_body``: 0, 1, 2 ... by file time, file, place in the file.
+
+    Rows are sorted over all tasks; a task numbers its own, and the sizes of the tasks before it are added.
+    """
+    files = [c for c in _FILE if c in batch.columns]
+    rows = batch.withColumn("_read", F.monotonically_increasing_id())
+    rows = rows.orderBy(*files, "_read").withColumn("_id", F.monotonically_increasing_id()).persist()
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.shiftright("_id", 33).alias("task")).count().collect()}
+    if sum(sizes.values()) > BODIES:
+        raise ValueError(f"a batch has more than {BODIES} bodies: lower files_per_batch")
+    before, held = {}, 0
+    for task in sorted(sizes):
+        before[task] = held
+        held += sizes[task]
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in (before or {0: 0}).items() for x in pair]), F.shiftright("_id", 33))
+    return rows.withColumn("_body", offset + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_read", "_id")
 
 
 def _append(kind: str, out: str):
     def write(batch: DataFrame, number: int) -> None:
+        order = F.lit(number).cast("long") * F.lit(BODIES) + F.col("_body")
         if kind == "metrics":
-            rows = metric_frame(batch, gen=F.lit(number).cast("long") * F.lit(1 << 20) + F.monotonically_increasing_id() % F.lit(1 << 20))
+            rows = metric_frame(numbered(batch), gen=order)
             rows = rows.withColumn("day", F.call_function("div", F.col("ts_ms"), F.lit(86_400_000)))
         else:
-            rows = log_frame(batch, seq=F.lit(number).cast("long") * F.lit(1 << 20) + F.monotonically_increasing_id() % F.lit(1 << 20))
+            rows = log_frame(numbered(batch), seq=order)
             rows = rows.withColumn("day", F.call_function("div", F.col("ts_ns"), F.lit(86_400 * 10**9)))
         # a batch that is repeated after a failure replaces its own folder
         rows.repartitionByRange("day", "labels_key").sortWithinPartitions("labels_key").write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={number}")
     return write
 
 
+def once(entries: DataFrame, time: str, delay: str, *keys: str) -> DataFrame:
+    """A stream of entries without those that repeat ``keys`` within ``delay`` of event time.
+
+    The state is bounded by the delay, so a repetition that comes later passes; queries settle repeated
+    entries whenever they were written, and stay the authority.
+    """
+    return entries.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
 def ingest(bodies: DataFrame, kind: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Writes validated rows of ``kind`` metrics or logs to ``out``; ``once`` takes what is there and ends."""
     writer = bodies.writeStream.foreachBatch(_append(kind, out)).option("checkpointLocation", checkpoint)
