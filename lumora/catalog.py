@@ -15,7 +15,7 @@ from lumora.operators.metrics import MetricEngine, latest_writes
 from lumora.operators.ticks import Ticks
 from lumora.plans.logql import parse_constant
 from lumora.sources import generators, ingest, tables
-from lumora.sources.model import valid_labels
+from lumora.sources.model import SERIES, valid_labels
 from lumora.sources.shared import new_folder
 from lumora.streaming import ingest as streaming
 
@@ -182,12 +182,12 @@ def logql_regex_end_anchor(spark, sf_dir):
     return out.select(_label("lang"), _label("source"), "ts_ns", F.octet_length("line").cast("long").alias("bytes"))
 
 
-@_query("SELECT role, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT role, (conv_id * 100 + turn + 1700000000) * 1000000000 AS t, text FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY role")
+@_query("SELECT role, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT role, (conv_id * 100 + turn + 1700000000) * 1000000000 AS t, text FROM conversations) GROUP BY role")
 def log_dedup(spark, sf_dir):
     data = tables.conversation_logs(spark, sf_dir)
     twice = type(data)(data.streams, data.entries.unionByName(data.entries))
-    rows = [LogEngine(twice).query_range(f'{{role="{r}"}}', DOCS, DOCS + 10**18, 0) for r in ("user", "assistant")]
-    return rows[0].unionByName(rows[1]).groupBy(_label("role")).agg(F.count(F.lit(1)).alias("n"))
+    rows = LogEngine(twice).query_range('{app="chat"}', DOCS, DOCS + 10**18, 0)
+    return rows.groupBy(_label("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- log metrics
@@ -239,9 +239,10 @@ def logql_drop_collision(spark, sf_dir):
     return _log_metric(spark, sf_dir, 'count_over_time({service="events"} | drop level [1d])', "service")
 
 
-@_query(f"WITH {DOC} SELECT lang, CAST({DOCS + 500 * 10**9} AS BIGINT) AS tick_ns, CAST(sum(octet_length(encode(line))) AS DOUBLE) AS value FROM (SELECT DISTINCT * FROM doc) WHERE lang = 'fr' AND ts_ns > {DOCS + 100 * 10**9} AND ts_ns <= {DOCS + 500 * 10**9} GROUP BY ALL")
+@_query(f"WITH {DOC} SELECT lang, CAST({DOCS + 10**18} AS BIGINT) AS tick_ns, CAST(sum(octet_length(encode(line))) AS DOUBLE) AS value FROM (SELECT DISTINCT * FROM doc) WHERE lang = 'fr' GROUP BY ALL")
 def logql_metric_instant(spark, sf_dir):
-    out = LogEngine(tables.document_logs(spark, sf_dir)).metric('sum by (lang) (bytes_over_time({lang="fr"}[400s]))', DOCS + 500 * 10**9)
+    """A window that spans all ids of the table."""
+    out = LogEngine(tables.document_logs(spark, sf_dir)).metric('sum by (lang) (bytes_over_time({lang="fr"}[1000000001s]))', DOCS + 10**18)
     return out.select(_label("lang"), "tick_ns", "value")
 
 
@@ -291,14 +292,17 @@ def discover_cardinality(spark, sf_dir):
 
 # --- ingest and storage
 
+def _entry(name: Column):
+    return lambda m: F.struct(name.alias("name"), F.create_map(F.lit("event_type"), m["event_type"], F.lit("user"), F.col("user_id").cast("string")).alias("labels"), m["ms"].alias("timestamp_ms"), m["value"].alias("value"))
+
+
 def _metric_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A body for each day and user; users divisible by 50 send one with a metric name that is not allowed."""
     ms = F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1000))
     rows = tables.table(spark, sf_dir, "events").select("user_id", F.call_function("div", ms, F.lit(DAY)).alias("day"), F.struct("event_id", ms.alias("ms"), "event_type", "value").alias("m"))
     found = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("m")).alias("all"))
     name = F.when(F.col("user_id") % 50 == 0, "0bad").otherwise("event_value")
-    entry = lambda m: F.struct(name.alias("name"), F.create_map(F.lit("event_type"), m["event_type"], F.lit("user"), F.col("user_id").cast("string")).alias("labels"), m["ms"].alias("timestamp_ms"), m["value"].alias("value"))
-    return found.select("day", F.to_json(F.struct(F.transform("all", entry).alias("metrics"))).alias("value"))
+    return found.select("day", F.to_json(F.struct(F.transform("all", _entry(name)).alias("metrics"))).alias("value"))
 
 
 @_query(f"WITH {EV} SELECT event_type, usr, ts_ms, value FROM ev WHERE CAST(usr AS BIGINT) % 50 <> 0")
@@ -321,11 +325,67 @@ def label_validation(spark, sf_dir):
     return tables.table(spark, sf_dir, "events").agg(F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
 
 
-@_query()
+_FNV = """
+WITH s AS (SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS usr FROM events),
+x AS (SELECT *, list_aggregate(list_transform(['__name__', 'event_value', 'event_type', event_type, 'user', usr], lambda p: lower(printf('%016x', octet_length(encode(p))) || hex(encode(p)))), 'string_agg', '') AS x FROM s),
+b AS (SELECT *, list_transform(range(len(x) // 2), lambda i: CAST(CAST('0x' || substr(x, 2 * i + 1, 2) AS INT) AS HUGEINT)) AS b FROM x),
+h AS (SELECT *, list_reduce(list_concat([CAST(14695981039346656037 AS HUGEINT)], b), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616) AS h FROM b)
+SELECT '{__name__="event_value", event_type="' || event_type || '", user="' || usr || '"}' AS labels_key, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS fingerprint FROM h
+"""
+
+
+@_query(_FNV)
 def series_fingerprints(spark, sf_dir):
     return with_fingerprint(tables.event_values(spark, sf_dir).series).select("labels_key", "fingerprint")
 
 
+#: Of the writes of an hour the last one counts: by body (the event's number modulo 3), then by place in it.
+_REWRITTEN = f"WITH {EV} SELECT event_type, usr, ts_ms // {HOUR} * {HOUR} AS ts_ms, arg_max(value, (event_id % 3) * 1000000000000 + event_id) AS value FROM ev GROUP BY ALL"
+
+
+def _rewriting_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of samples at full hours, with the order in which they are written."""
+    ms = F.call_function("div", F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1000))
+    hour = F.call_function("div", ms, F.lit(HOUR)) * F.lit(HOUR)
+    rows = tables.table(spark, sf_dir, "events").select("user_id", F.call_function("div", ms, F.lit(DAY)).alias("day"), (F.col("event_id") % 3).alias("turn"), F.struct("event_id", hour.alias("ms"), "event_type", "value").alias("m"))
+    found = rows.groupBy("user_id", "day", "turn").agg(F.array_sort(F.collect_list("m")).alias("all"))
+    return found.select("turn", F.to_json(F.struct(F.transform("all", _entry(F.lit("event_value"))).alias("metrics"))).alias("value"))
+
+
+def _last_written(rows: DataFrame) -> DataFrame:
+    last = latest_writes(rows.withColumn("sid", F.xxhash64("labels_key"))).join(rows.select(F.xxhash64("labels_key").alias("sid"), "labels").dropDuplicates(["sid"]), "sid")
+    return last.select(_label("event_type"), _label("user", "usr"), "ts_ms", "value")
+
+
+@_query(_REWRITTEN)
+def ingest_last_write_wins(spark, sf_dir):
+    return _last_written(ingest.metric_frame(_rewriting_bodies(spark, sf_dir), gen=F.col("turn")))
+
+
+@_query(_REWRITTEN)
+def streaming_last_write_wins(spark, sf_dir):
+    """Three batches, one after the other; within a batch, bodies by file and line."""
+    folder = new_folder(spark, "rewrites")
+    bodies = _rewriting_bodies(spark, sf_dir)
+    for turn in range(3):
+        bodies.where(F.col("turn") == turn).select("value").write.mode("append").text(f"{folder}/in")
+        streaming.ingest(streaming.read_bodies(spark, f"{folder}/in"), "metrics", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return _last_written(spark.read.parquet(f"{folder}/out"))
+
+
+@_query("SELECT event_type AS level, count(*) AS n FROM (SELECT DISTINCT event_type, user_id, epoch_us(ts) FROM events) GROUP BY ALL")
+def streaming_dedup(spark, sf_dir):
+    """Every event comes twice, in two batches; the delay spans all of them."""
+    folder = new_folder(spark, "once")
+    rows = tables.table(spark, sf_dir, "events").select("event_type", "user_id", "ts")
+    read = lambda: spark.readStream.schema("event_type string, user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = lambda: streaming.once(read(), "ts", "365 days", "event_type", "user_id", "ts").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for _ in range(2):
+        rows.select("event_type", "user_id", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        query()
+    return spark.read.parquet(f"{folder}/out").groupBy(F.col("event_type").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[BlockStore, DataFrame]:
     data = tables.event_values(spark, sf_dir, rounded_ms=HOUR)
     store = BlockStore(spark, new_folder(spark, "blocks"))
@@ -334,29 +394,44 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[BlockStore, DataFrame]:
     return store, data.series
 
 
-#: The store holds all samples; the queries read it up to this time, as their SQL does.
-_READ_END = 1_704_067_200_000 + 64 * HOUR - 1
-_STORED_SQL = f"WITH {EV} SELECT event_type, usr, ts_ms // {HOUR} * {HOUR} AS ts_ms, arg_max(value, event_id) AS value FROM ev WHERE ts_ms // {HOUR} * {HOUR} < 1704067200000 + {64 * HOUR} GROUP BY ALL"
+_STORED_SQL = f"WITH {EV} SELECT event_type, usr, ts_ms // {HOUR} * {HOUR} AS ts_ms, arg_max(value, event_id) AS value FROM ev GROUP BY ALL"
 
 
 @_query(_STORED_SQL)
 def storage_flush_and_scan(spark, sf_dir):
     store, series = _stored(spark, sf_dir)
-    return store.latest(end=_READ_END).join(series, "sid").select(_label("event_type"), _label("user", "usr"), "ts_ms", "value")
+    return store.latest().join(series, "sid").select(_label("event_type"), _label("user", "usr"), "ts_ms", "value")
 
 
 @_query(_STORED_SQL)
 def storage_compaction(spark, sf_dir):
     store, series = _stored(spark, sf_dir)
     store.maintain(0, ranges=[128 * HOUR, 40_000 * HOUR])
-    return store.scan(end=_READ_END).join(series, "sid").select(_label("event_type"), _label("user", "usr"), "ts_ms", "value")
+    return store.scan().join(series, "sid").select(_label("event_type"), _label("user", "usr"), "ts_ms", "value")
 
 
-@_query("SELECT CAST(0 AS BIGINT) AS n")
+@_query(f"WITH {EV} SELECT event_type, usr, CAST(count(*) AS BIGINT) AS n FROM ev WHERE ts_ms >= {START + 9 * DAY} GROUP BY ALL")
 def storage_retention(spark, sf_dir):
-    store, _ = _stored(spark, sf_dir)
-    store.maintain(END + 400 * DAY, retention=30 * DAY)
-    return store.scan().agg(F.count(F.lit(1)).alias("n"))
+    """Blocks of three spans of time: the first is too old, the second has a sample that is young enough. Label sets go with the blocks."""
+    data = tables.event_values(spark, sf_dir)
+    store = BlockStore(spark, new_folder(spark, "blocks"))
+    for low, high in ((0, START + 9 * DAY), (START + 9 * DAY, START + 18 * DAY), (START + 18 * DAY, END + 400 * DAY)):
+        store.flush(data.samples.where((F.col("ts_ms") >= low) & (F.col("ts_ms") < high)), data.series)
+    store.maintain(END, retention=14 * DAY)
+    return store.scan().join(store.labels(SERIES), "sid").groupBy(_label("event_type"), _label("user", "usr")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {EV} SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM ev GROUP BY ALL")
+def storage_manifest_rebuild(spark, sf_dir):
+    """All manifest rows are lost and found again beside the data."""
+    data = tables.event_values(spark, sf_dir)
+    store = BlockStore(spark, new_folder(spark, "blocks"))
+    for part in range(2):
+        store.flush(data.samples.where(F.col("gen") % 2 == part), data.series)
+    store._fs.delete(store._path(f"{store.root}/manifest"), True)
+    store = BlockStore(spark, store.root)
+    store.rebuild()
+    return store.scan().join(store.labels(SERIES), "sid").groupBy(_label("event_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT DISTINCT 'events' AS service, event_type AS level, epoch_us(ts) * 1000 AS ts_ns, 'user=' || user_id || ' ' || props AS line FROM events")
@@ -384,12 +459,16 @@ def streaming_window_counts(spark, sf_dir):
     return streaming.counts_by_window(rows, "level", DAY * NS, START * NS, END * NS, STEP * NS)
 
 
-@_query()
+def _noise_sql(seed: int, n: int) -> str:
+    return f"((i % 2147483648 * 1103515245 + {seed} * 12345 + 12345) % 2147483648 // 65536 % {n})"
+
+
+@_query(f"SELECT 'i-' || i % 100 AS instance, ['api', 'worker', 'web'][i % 100 % 3 + 1] AS service, i // 100 * 1000 AS ts_ms, CAST(i // 100 * 10 + {_noise_sql(1, 10)} AS DOUBLE) AS value, i + 1 AS gen FROM (SELECT unnest(range(10000)) AS i)")
 def generated_metrics(spark, sf_dir):
     return generators.request_metrics(spark, 10_000).select(_label("instance"), _label("service"), "ts_ms", "value", "gen")
 
 
-@_query()
+@_query(f"WITH g AS (SELECT i, CASE WHEN {_noise_sql(1, 100)} < 80 THEN 'info' WHEN {_noise_sql(1, 100)} < 92 THEN 'warn' ELSE 'error' END AS level FROM (SELECT unnest(range(5000)) AS i)) SELECT level, ['api', 'worker'][{_noise_sql(2, 2)} + 1] AS service, 1700000000000000000 + i * 250000000 AS ts_ns, level || ' request ' || i || ' took ' || {_noise_sql(0, 500)} || ' ms' AS line FROM g")
 def generated_logs(spark, sf_dir):
     return generators.application_logs(spark, 5_000).select(_label("level"), _label("service"), "ts_ns", "line")
 

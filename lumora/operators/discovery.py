@@ -46,5 +46,5 @@ def label_values(dimension: DataFrame, name: str) -> DataFrame:
 
 def cardinality(dimension: DataFrame, key: str = "sid") -> DataFrame:
     """One row: series, label_names, label_pairs."""
-    pairs = dimension.select(key, F.explode("labels").alias("k", "v"))
-    return dimension.agg(F.countDistinct(key).alias("series")).crossJoin(pairs.agg(F.countDistinct("k").alias("label_names"), F.countDistinct("k", "v").alias("label_pairs")))
+    pairs = dimension.select(F.col(key).alias("_key"), F.explode_outer("labels").alias("k", "v"))
+    return pairs.agg(F.countDistinct("_key").alias("series"), F.countDistinct("k").alias("label_names"), F.countDistinct("k", "v").alias("label_pairs"))

@@ -61,7 +61,10 @@ class LogEngine:
         """
         streams, entries = self._chosen(select)
         streams = with_fingerprint(streams).withColumn("_rank", F.col("fingerprint").bitwiseXOR(F.lit(INT64_MIN)))
-        rows = distinct_entries(entries.where(time)).join(streams.select("stream_id", "_rank"), "stream_id")
+        near = entries.where(time)
+        if limit > 0:
+            near = self._nearest_times(near, limit, backward)
+        rows = distinct_entries(near).join(streams.select("stream_id", "_rank"), "stream_id")
         order = [F.desc("ts_ns") if backward else F.asc("ts_ns"), F.asc("_rank"), F.asc("seq")]
         if limit > 0:
             # at most ``limit`` rows are left to number
@@ -74,6 +77,16 @@ class LogEngine:
         firsts = out.groupBy("labels_key").agg(F.min("ord").alias("group_ord"))
         return out.join(firsts, "labels_key").select("labels", "labels_key", "ts_ns", "line", "ord", "group_ord")
 
+    @staticmethod
+    def _nearest_times(entries: DataFrame, limit: int, backward: bool) -> DataFrame:
+        """The entries of the first ``limit`` different times: the first ``limit`` entries are among them, whatever repeats.
+
+        Only times travel to find the last of these; lines are read again for what lies before it.
+        """
+        edge = entries.select("ts_ns").distinct().orderBy(F.desc("ts_ns") if backward else F.asc("ts_ns")).limit(limit)
+        last = edge.agg(F.min("ts_ns") if backward else F.max("ts_ns")).first()[0]
+        return entries.where(F.lit(False) if last is None else F.col("ts_ns") >= last if backward else F.col("ts_ns") <= last)
+
     def metric_range(self, text: str, start: int, end: int, step: int) -> DataFrame:
         """At every tick whose window (tick - range, tick] has entries: labels, labels_key, tick_ns, value."""
         return self._metric(parse_metric(text), Ticks(start, end, step))
