@@ -20,6 +20,8 @@ from lumora.llm._shared import columns, small_batches, written
 REACH = 1 << 16
 #: A plan (a row per source and length) of up to so many rows goes to every task; a larger one is joined by shuffle.
 PLAN_ROWS = 200_000
+#: Parts of a source and length in such a join, so that none is hot.
+SALTS = 16
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -94,14 +96,12 @@ def _knapsack(length: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray:
     return out
 
 
-def _plan(goals: dict[str, tuple[int, int]]):
-    def run(table: pa.Table) -> pa.Table:
-        source = table["key"][0].as_py()
-        passes, budget = goals[source]
-        length, count = table["size"].to_numpy(), table["n"].to_numpy()
-        order = np.argsort(length)
-        return pa.table([pa.array([source] * len(order)), pa.array(length[order]), pa.array(fit(length[order], count[order], budget)), pa.array(np.full(len(order), passes))], ["key", "size", "take", "passes"])
-    return run
+def _plan(table: pa.Table) -> pa.Table:
+    """Of one source: how many of each length to take beyond whole passes."""
+    length, count = table["size"].to_numpy(), table["n"].to_numpy()
+    order = np.argsort(length)
+    take = fit(length[order], count[order], table["budget"][0].as_py())
+    return pa.table([table["key"].take(pa.array(order)), pa.array(length[order]), pa.array(take), table["passes"].take(pa.array(order))], ["key", "size", "take", "passes"])
 
 
 def _sized(documents: DataFrame, seed: int) -> DataFrame:
@@ -131,26 +131,38 @@ def _plans(small: DataFrame, weights, share: float, most: int) -> tuple[DataFram
     sums = [(r[0], int(r[1])) for r in counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n"))).collect()]
     sums.sort(key=lambda x: (x[0] == "", x[0].encode("utf-8")))
     aims = targets([s for _, s in sums], [weights[i % len(weights)] for i in range(len(sums))], share, most)
-    goals = {}
+    known = []
     for (key, size), aim in zip(sums, aims, strict=True):
         passes = min(most, int(aim // size)) if size else 0
-        goals[key] = passes, round(aim - passes * size) if passes < most else 0
-    known = spark.createDataFrame([(k, s, float(a)) for (k, s), a in zip(sums, aims, strict=True)], "key string, source_size long, target double")
+        known.append((key, size, float(aim), passes, round(aim - passes * size) if passes < most else 0))
+    known = written(spark.createDataFrame(known, "key string, source_size long, target double, passes long, budget long"), "mixing-sources")
     counts = counts.where("size > 0")
-    plan = counts.groupBy("key", "size").agg(F.sum("n").alias("n")).groupBy("key").applyInArrow(_plan(goals), "key string, size long, take long, passes long")
-    before = Window.partitionBy("key", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan, ["key", "size"])
-    # the range of hashes in which a length's last document lies
-    cut = slots.where("take > 0 and before < take and take <= before + n").select("key", "size", "slot", (F.col("take") - F.col("before")).alias("here"))
-    ranked = small.join(cut, ["key", "size", "slot"]).withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "slot").orderBy("h")))
+    plan = counts.groupBy("key", "size").agg(F.sum("n").alias("n")).join(known.select("key", "passes", "budget"), "key")
+    plan = plan.groupBy("key").applyInArrow(_plan, "key string, size long, take long, passes long")
+    # the range of hashes in which a length's last document lies, then the part of it: few rows are ranked, however many share a length
+    first = _cut(counts.join(plan.where("take > 0").select("key", "size", F.col("take").alias("left")), ["key", "size"]), ["key", "size"], "slot")
+    inside = small.join(first, ["key", "size", "slot"]).withColumn("part", F.shiftright("h", 40).bitwiseAND(0xFFFF))
+    parts = inside.groupBy("key", "size", "slot", "part", "left").agg(F.count(F.lit(1)).alias("n"))
+    second = _cut(parts, ["key", "size", "slot"], "part").withColumnRenamed("left", "here")
+    ranked = inside.join(second, ["key", "size", "slot", "part"]).withColumn("rank", F.row_number().over(Window.partitionBy("key", "size", "slot", "part").orderBy("h")))
     last = ranked.where("rank = here").select("key", "size", F.col("h").alias("last"))
-    return written(plan.select("key", "size", "passes").join(last, ["key", "size"], "left"), "mixing-plan"), known
+    return written(plan.select("key", "size", "passes").join(last, ["key", "size"], "left"), "mixing-plan"), known.select("key", "source_size", "target")
+
+
+def _cut(counts: DataFrame, by: list[str], cell: str) -> DataFrame:
+    """By ``by``: the cell in which the ``left``-th document lies, and how many of that cell's (``left``) that leaves."""
+    before = Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return rows.where("before < left and left <= before + n").select(*by, cell, (F.col("left") - F.col("before")).alias("left"))
 
 
 def _decided(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    rows = plan.count()
-    plan = F.broadcast(plan) if rows <= PLAN_ROWS else plan
-    return sized.join(plan, ["key", "size"], "left").withColumn("times", F.coalesce(F.col("passes") + F.when(F.col("h") <= F.col("last"), 1).otherwise(0), F.lit(0)))
+    times = F.coalesce(F.col("passes") + F.when(F.col("h") <= F.col("last"), 1).otherwise(0), F.lit(0))
+    if plan.count() <= PLAN_ROWS:
+        return sized.join(F.broadcast(plan), ["key", "size"], "left").withColumn("times", times)
+    salted = sized.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    spread = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["key", "size", "salt"], "left").withColumn("times", times).drop("salt")
 
 
 def mixture(documents: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
@@ -169,7 +181,11 @@ def mixture(documents: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
 
 
 def mixed(documents: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
-    """The mixture itself: the rows of ``documents`` with all their columns, each as often as it is taken."""
+    """The mixture itself: the rows of ``documents`` with all their columns, each as often as it is taken.
+
+    Rows without words (null and empty texts) are not taken; a null source is a source of its own; an empty
+    table gives an empty one.
+    """
     sized = _sized(documents, seed)
     small = written(sized.select("key", "size", "h"), "mixing-sizes")
     plan, _ = _plans(small, weights, share, most)
