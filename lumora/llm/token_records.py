@@ -35,6 +35,8 @@ MAGIC = b"LUMIDX01"
 MASK = 0xA282EAD8
 #: Words that an encoder remembers before it starts anew.
 WORDS = 400_000
+#: Every so many texts, the tokenizer itself encodes one whole, too, and the ids must agree.
+CHECKED = 64
 
 
 def masked(data: bytes) -> int:
@@ -59,7 +61,14 @@ def unframe(data: memoryview | bytes, offset: int) -> tuple[bytes, int]:
     return payload, offset + 16 + n
 
 
+def arrow_uri(path: str) -> str:
+    """Hadoop's names of S3 as Arrow has them."""
+    return re.sub("^s3[an]://", "s3://", path)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """For local paths and the schemes that Arrow knows."""
+    path = arrow_uri(path)
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -74,7 +83,7 @@ class Encoder:
     A byte-level tokenizer merges within the words of its pre-tokenizer only, so a text's ids are its words'
     ids in turn. Latin-1 texts are split here, by the same rule, and new words are encoded many at a time.
     Texts with other characters or with a special token's text, and files of another pre-tokenizer, go to
-    the tokenizer as they are.
+    the tokenizer as they are. Of the split texts one in CHECKED does, too; a difference is an error.
     """
 
     def __init__(self, file: str):
@@ -84,6 +93,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.texts = 0
         with open(file, encoding="utf-8") as f:
             about = json.load(f)
         pre = about.get("pre_tokenizer") or {}
@@ -137,6 +147,10 @@ class Encoder:
         late = [i for i, b in enumerate(out) if b is None]
         for i, b in zip(late, self.whole([texts[i] for i in late]), strict=True):
             out[i] = b
+        checked = [i for i in sorted(split) if (self.texts + i) % CHECKED == 0]
+        if [out[i] for i in checked] != self.whole([texts[i] for i in checked]):
+            raise ValueError("the words of a text and the tokenizer disagree")
+        self.texts += len(texts)
         return out
 
 
@@ -224,7 +238,8 @@ def write_records(documents: DataFrame, folder: str, tokenizer_file: str, end_id
     """
     rows = columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     tie = F.xxhash64("text")  # so that one doc_id with very many rows does not have to fit a range
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    # rows that are equal altogether may lie in several files
+    ordered = rows.withColumn("_spread", F.monotonically_increasing_id()).repartitionByRange("doc_id", tie, "_spread").sortWithinPartitions("doc_id", tie, "text").drop("_spread")
     done = ordered.mapInArrow(_write(folder, tokenizer_file, end_id), "shard long, name string, records long, tokens long").toPandas().sort_values("shard", ignore_index=True)
     done["first_token"] = (done["tokens"].cumsum() - done["tokens"]).astype("int64")
     return documents.sparkSession.createDataFrame(done, "shard long, name string, records long, tokens long, first_token long")

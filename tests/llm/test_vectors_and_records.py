@@ -36,6 +36,20 @@ def test_encoder_starts_anew_when_full(monkeypatch):
         assert e(texts) == e.whole(texts)
 
 
+def test_encoder_is_checked_against_the_tokenizer(monkeypatch):
+    e = R.Encoder(byte_bpe())
+    texts = [" ".join(f"w{i * j}" for j in range(300)) for i in range(70)] + ["x" * 50_000, ""]
+    assert e(texts) == e.whole(texts) and e.texts == len(texts)
+    broken = R.Encoder(byte_bpe())
+    monkeypatch.setattr(R, "_SPLIT", R.re.compile(".{1,3}"))
+    with pytest.raises(ValueError):
+        broken(["one whole text, split in other places", "x"])
+
+
+def test_stores_of_other_names():
+    assert R.arrow_uri("s3a://bucket/s3a://x") == "s3://bucket/s3a://x" and R.arrow_uri("file:/a") == "file:/a" and R.filesystem("file:///a/b")[1] == "/a/b"
+
+
 def test_records_round_trip(spark, tmp_path):
     rows = [*corpus(7), (3, "again"), (None, "no id"), (-5, "first")]
     folder = f"file://{tmp_path}/records"
