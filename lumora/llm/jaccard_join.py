@@ -9,10 +9,12 @@
    Shingles that very many sets hold never travel by document: their counts are known to the map side.
 3. Sets that share a prefix shingle are joined into candidate classes, which are exact supersets of the
    linked classes. A class is solved by ``linked_sets`` in memory; one above ``class_shingles`` is dealt in
-   blocks, and every two blocks are solved together, so no class is ever gathered whole.
+   blocks by size, and every two blocks whose sizes are near enough for a link are solved together, so no
+   class is ever gathered whole.
 4. ``linked_sets`` finds links by two relations between sets: lists of prefix positions are cut where no
-   later entry can reach the threshold (index skipping), and the overlaps of a set with all others are
-   derived from those of a highly similar set through the few shingles in which both differ.
+   later entry can reach the threshold (index skipping), which leaves a set's possible partners; their
+   overlaps are counted one by one, or along the lists, or derived from those of a highly similar set through
+   the few shingles in which both differ, whichever is the least work.
 
 Digests have 64 bits; two different sets of one corpus meet in a digest with a chance of about n**2 / 2**65.
 """
@@ -24,7 +26,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.llm import _text as T
@@ -138,12 +140,10 @@ def _blocks(k: int, buckets: int, hot):
             head = np.concatenate([np.array([len(vids), known.sum()], np.int64).view(np.uint8), vids.view(np.uint8), n.view(np.uint8), m.view(np.uint8), keys[known].view(np.uint8), ref[known].view(np.uint8)])
             rows = [(portion % buckets, portion, 1, head.tobytes(), b"")]
             keys, ref = keys[~known], ref[~known]
-            bucket = ((keys >> U64(40)) * U64(buckets)) >> U64(16)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            for g in range(buckets):
-                a, b = cut[g], cut[g + 1]
-                if b > a:
-                    rows.append((g, portion, 0, _planes(keys[a:b], 7), _planes(ref[a:b].astype(np.uint64), 2)))
+            bucket = ((keys >> U64(24)) * U64(buckets)) >> U64(32)
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else [0]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                rows.append((int(bucket[a]), portion, 0, _planes(keys[a:b], 7), _planes(ref[a:b].astype(np.uint64), 2)))
             for i in range(0, len(rows), 64):
                 part = list(zip(*rows[i : i + 64], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary()), pa.array(part[4], pa.binary())], ["bucket", "portion", "kind", "keys", "refs"])
@@ -225,13 +225,16 @@ class _Lists:
         self.at = np.concatenate(([0], np.cumsum(self.count)))
         rank = np.lexsort((self.ids, self.count[self.ids], owner))
         self.ranked = self.ids[rank]  # each set's shingles, rare ones first
-        place = np.arange(len(rank)) - np.repeat(self.ptr[:-1], size)
-        most = size - np.maximum(1, size * 4 // 5)
-        self.place, self.owner, self.most = place, owner, most
+        self.place, self.owner = np.arange(len(rank)) - np.repeat(self.ptr[:-1], size), owner
 
     def of(self, i: int) -> np.ndarray:
         return self.ids[self.ptr[i] : self.ptr[i + 1]]
 
+    def spread(self, sets: np.ndarray) -> np.ndarray:
+        """The shingles of several sets, one set after the other."""
+        n = self.size[sets]
+        return self.ids[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.ptr[sets], n)]
+
     def cost(self, ids: np.ndarray) -> int:
         return int(self.count[ids].sum())
 
@@ -262,37 +265,42 @@ def linked_sets(sets: list[np.ndarray], num: int = 4, den: int = 5) -> tuple[np.
     head = np.searchsorted(key, np.arange(lists.width + 1))
     left, right = [], []
     hub: tuple[np.ndarray, np.ndarray] | None = None
+    held = np.zeros(lists.width, bool)
     for x in range(1, len(sets)):
         n = int(size[x])
         low = int(np.searchsorted(size, _least_partner(np.int64(n), num, den)))
         if low >= x:
             continue
         mine = lists.ranked[lists.ptr[x] : lists.ptr[x] + int(most[x]) + 1]
-        possible = False
+        near = []
         for pos, t in enumerate(mine):
             a, b = head[t], head[t + 1]
             if b - a < 2:
                 continue
             # a smaller partner of size s has its first common shingle at s - need(n, s) or before, which grows with s
             b = a + np.searchsorted(place[a:b], n - need(n, n), side="right")
-            y = who[a:b]
-            y = y[(y < x) & (y >= low)]
-            if len(y) and (np.minimum(n - pos, size[y]) >= need(n, size[y])).any():
-                possible = True
-                break
-        if not possible:
+            y, at = who[a:b], place[a:b]
+            # what is left of both from their first common shingle on must suffice
+            near.append(y[(y < x) & (y >= low) & (np.minimum(n - pos, size[y] - at) >= need(n, size[y]))])
+        y = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
+        if not len(y):
             continue
         ids = lists.of(x)
-        overlap = None
+        costs = [int(size[y].sum()), lists.cost(ids)]
         if hub is not None:
             gone, come = np.setdiff1d(hub[0], ids, assume_unique=True), np.setdiff1d(ids, hub[0], assume_unique=True)
-            if lists.cost(gone) + lists.cost(come) < lists.cost(ids):
-                overlap = hub[1] - lists.overlaps(gone) + lists.overlaps(come)  # the other set's answers, brought up to date
-        if overlap is None:
-            overlap = lists.overlaps(ids)
-            hub = ids, overlap
-        y = np.arange(low, x)
-        y = y[den * overlap[low:x] >= num * (n + size[low:x] - overlap[low:x])]
+            costs.append(lists.cost(gone) + lists.cost(come))
+        cheapest = int(np.argmin(costs))
+        if cheapest == 0:  # few partners are possible: only these are compared
+            held[ids] = True
+            both = np.add.reduceat(held[lists.spread(y)], np.concatenate(([0], np.cumsum(size[y])[:-1])), dtype=np.int64)
+            held[ids] = False
+        elif cheapest == 2:
+            both = (hub[1] - lists.overlaps(gone) + lists.overlaps(come))[y]  # the other set's answers, brought up to date
+        else:
+            hub = ids, lists.overlaps(ids)
+            both = hub[1][y]
+        y = y[den * both >= num * (n + size[y] - both)]
         left.append(y)
         right.append(np.full(len(y), x))
     if not left:
@@ -387,8 +395,8 @@ def jaccard_classes(documents: DataFrame, num: int = 4, den: int = 5, k: int = 5
     least = max(HOT_LEAST, HOT_SHARE * rows)
     hot = text.mapInArrow(_frequent(k), "key long, sets long").groupBy("key").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= least).orderBy("key").toArrow()
     hot = spark.sparkContext.broadcast((hot["key"].to_numpy().view(np.uint64), hot["sets"].to_numpy()))
-    buckets = int(min(20_000, max(12, ceil(shingles / 1_500_000))))
-    counted = text.mapInArrow(_blocks(k, buckets, hot), _BLOCK).groupBy("bucket").applyInArrow(_count_bucket, _COUNTED)
+    buckets = max(12, ceil(shingles / 1_500_000))
+    counted = text.mapInArrow(_blocks(k, buckets, hot), _BLOCK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count_bucket, _COUNTED)
     postings = written(counted.groupBy("portion").applyInArrow(_prefixes(num, den, hot), "key long, setid long, undecided boolean").distinct(), "jaccard-postings")
     # A sample that leaves a set undecided (a chance below 1e-10 a set): all sets of its reach are one candidate class.
     loose = postings.where("undecided").limit(1).count()
@@ -423,12 +431,23 @@ def jaccard_classes(documents: DataFrame, num: int = 4, den: int = 5, k: int = 5
 
 
 def _large_classes(sets: DataFrame, num: int, den: int, class_shingles: int) -> DataFrame:
-    """Classes too large for a task: every two blocks of a class meet in one."""
-    sets = sets.withColumn("blocks", F.ceil(F.col("total") * 2 / class_shingles).cast("int"))
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("setid"), "blocks").cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    met = written(sets.select("root", "i", "j", "setid", "copies", "block", "shingles").groupBy("root", "i", "j").applyInArrow(_solve_blocks(num, den), "setid long, other long, links long"), "jaccard-blocks")
+    """Classes too large for a task are dealt in blocks by size; blocks whose sizes allow a link meet, two at a time."""
+    sets = sets.withColumn("size", (F.length("shingles") / 8).cast("long"))
+    part = class_shingles // 2
+    # sets of one size fill the range of blocks that their shingles take up in the order of sizes
+    counts = sets.groupBy("root", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("held"))
+    up_to = F.sum("held").over(Window.partitionBy("root").orderBy("size"))
+    counts = counts.withColumn("from", F.floor((up_to - F.col("held")) / part)).withColumn("to", F.floor((up_to - 1) / part))
+    places = written(counts.select("root", "size", F.col("from").cast("int").alias("from"), F.col("to").cast("int").alias("to")), "jaccard-places")
+    blocks = places.withColumn("b", F.explode(F.sequence("from", "to"))).groupBy("root", "b").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    other = blocks.select("root", F.col("b").alias("c"), F.col("low").alias("low2"))
+    meet = blocks.join(other, "root").where(f"b <= c and low2 * {num} <= high * {den}").select("root", "b", "c")
+    meet = meet.select("root", F.col("b").alias("i"), F.col("c").alias("j"))
+    sides = meet.select("root", F.col("i").alias("block"), "i", "j").unionByName(meet.where("i < j").select("root", F.col("j").alias("block"), "i", "j"))
+    sides = written(sides, "jaccard-meetings")
+    placed = sets.join(places, ["root", "size"]).withColumn("block", (F.col("from") + F.pmod(F.xxhash64("setid"), F.col("to") - F.col("from") + 1)).cast("int"))
+    dealt = placed.select("root", "block", "setid", "copies", "shingles").join(sides, ["root", "block"])
+    met = written(dealt.select("root", "i", "j", "setid", "copies", "block", "shingles").groupBy("root", "i", "j").applyInArrow(_solve_blocks(num, den), "setid long, other long, links long"), "jaccard-blocks")
     roots = connected(met.select(F.col("setid").alias("a"), F.col("other").alias("b")), "jaccard-large")
     own = sets.select("setid", "first", "copies").distinct()
     links = met.groupBy("setid").agg(F.sum("links").alias("found"))
