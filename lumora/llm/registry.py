@@ -102,5 +102,22 @@ FROM s
 """
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+#: Every diagonal of a document and an item on which enough words agree, and of it all windows that agree.
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents), i AS (SELECT row_number() OVER () AS item, * FROM (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark)),
+n AS (SELECT item, len(w) AS size, least(13, len(w)) AS wide, CASE WHEN len(w) >= 13 THEN 11 WHEN len(w) >= 8 THEN len(w) - 1 ELSE len(w) END AS need FROM i WHERE len(w) > 0),
+dw AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d), iw AS (SELECT item, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM i),
+m AS (SELECT r, item, p - q AS shift, list(p) AS ps FROM dw JOIN iw USING (word) GROUP BY r, item, p - q HAVING count(*) >= 1),
+k AS (SELECT m.*, n.wide, n.need, greatest(0, shift) AS a, least(len(d.w), shift + n.size) AS b FROM m JOIN n USING (item) JOIN d USING (r) WHERE len(ps) >= need),
+s AS (SELECT *, list_filter(range(a, b - wide + 1), lambda x: len(list_filter(ps, lambda y: y >= x AND y < x + wide)) >= need) AS starts FROM k WHERE b - a >= wide),
+c AS (SELECT *, list_filter(range(a, b), lambda y: len(list_filter(starts, lambda x: y >= x AND y < x + wide)) > 0) AS covered FROM s WHERE len(starts) > 0),
+f AS (SELECT r, item, shift, list_min(starts) AS start_word, len(covered) AS n_words, len(list_intersect(covered, ps)) AS n_agree FROM c),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, item ORDER BY n_agree DESC, start_word, shift) AS o FROM f)
+SELECT d.doc_id, i.item_id, CAST(start_word AS BIGINT) AS start_word, CAST(n_words AS BIGINT) AS n_words, CAST(n_agree AS BIGINT) AS n_agree FROM best JOIN d USING (r) JOIN i USING (item) WHERE o = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL}

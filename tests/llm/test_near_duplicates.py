@@ -51,6 +51,10 @@ def test_large_classes_in_blocks_and_without_broadcast(spark):
     rng = random.Random(4)
     group = prose(rng, 150)
     rows = [(i, changed(rng, group, rng.randrange(5))) for i in range(60)] + [(i + 100, prose(rng, 50)) for i in range(10)]
+    for i in range(60):  # parts of the group, and longer ones, in many sizes
+        w = group.split()
+        at = rng.randrange(60)
+        rows.append((200 + i, " ".join(w[at : at + rng.randrange(40, 150)]) + " " + prose(rng, rng.randrange(0, 40))))
     got = sorted(map(tuple, jaccard_classes(frame(spark, rows), class_shingles=800, sets_per_broadcast=0).collect()))
     assert got == brute_classes(rows)
 

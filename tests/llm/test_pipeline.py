@@ -1,7 +1,11 @@
+import glob
+import os
 import random
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 import corpus_pipeline
 from lumora.llm import _text as T
@@ -79,6 +83,38 @@ def test_run_equals_its_stages(spark, tmp_path):
     assert sorted(map(str, docs.collect())) == sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_sql(spark, name):
+    db = duckdb.connect()
+    for f in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        db.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    want = db.execute(oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    got = queries()[name](spark, "/root/testdata/sf0.001").select(*names)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    tables(tmp_path, n=60)
+    wide = "doc_id long, text string, lang string, source string, n_chars long, key string, size long, h long, score double, setid long, did long, _row string, jaccard string"
+    rows = [(None, None, None, None, None), (None, "", None, None, 0), (1, "same text here", None, "s", 1), (1, "same text here", None, "s", 1), (2, "x " * 30_000, "en", "s", 1)]
+    odd = spark.createDataFrame([(*r, "k", 1, 2, 0.5, 3, 4, "r", "j") for r in rows], wide)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        assert name == "token_records" or out.columns == odd.columns
+        got = sorted(str((r["doc_id"], r["text"] and r["text"][:20])) if name != "token_records" else str(r["doc_id"]) for r in out.collect())
+        if name in ("toxicity", "benchmark_decontamination"):
+            assert len(got) == 5
+        elif name == "ngram_jaccard_join":
+            assert len(got) == 4 and got.count("(1, 'same text here')") == 1
+        elif name == "source_mixing":
+            assert set(got) <= {"(1, 'same text here')", "(2, 'x x x x x x x x x x ')"} and got
+        else:
+            assert got == sorted(["None", "None", "1", "1", "2"])
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
     assert T.SLICE_BYTES > 0

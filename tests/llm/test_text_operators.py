@@ -167,6 +167,15 @@ def test_licenses_against_brute_force(spark):
     for n, (name, text) in enumerate(licenses.TEMPLATES):
         rows += [(100 + n, prose(rng, 30) + "\n" + text + "\n" + prose(rng, 30)), (200 + n, "# " + text.upper().replace(" ", "\n# ")), (300 + n, " ".join(text.split()[: len(text.split()) // 2]))]
     rows += [(400, changed(rng, long["GPL-3.0"], 1)), (401, changed(rng, long["MIT"], 20)), (402, "license"), (403, "all rights"), (404, "all rights reserved"), (404, "all rights reserved")]
+    want = license_matches_by_force(rows)
+    got = licenses.license_matches(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["license"]): r["containment"] for r in got} == want and len(got) == len(want)
+    assert licenses.license_matches(frame(spark, [])).count() == 0
+    place = next(r for r in got if r["doc_id"] == 100)
+    assert place["start_word"] == 30 and place["n_words"] == 8
+
+
+def license_matches_by_force(rows):
     want = {}
     for doc_id, text in rows:
         w = licenses.template_words(text or "")
@@ -177,11 +186,24 @@ def test_licenses_against_brute_force(spark):
             share = len(theirs & {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}) / len(theirs)
             if share >= 0.8:
                 want[doc_id, name] = max(share, want.get((doc_id, name), 0))
-    got = licenses.license_matches(frame(spark, rows)).collect()
-    assert {(r["doc_id"], r["license"]): r["containment"] for r in got} == want and len(got) == len(want)
-    assert licenses.license_matches(frame(spark, [])).count() == 0
-    place = next(r for r in got if r["doc_id"] == 100)
-    assert place["start_word"] == 30 and place["n_words"] == 8
+    return want
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_license_recall_under_edits(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MOST_SENT", most)
+    rng = random.Random(14)
+    rows = []
+    for i in range(240 if most else 40):
+        name, text = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        w = text.split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [f"x{rng.randrange(999)}"] if rng.random() < 0.7 else []
+        rows.append((i, prose(rng, rng.randrange(0, 300)) + " " + " ".join(w) + " " + prose(rng, rng.choice([0, 3, 200]))))
+    want = license_matches_by_force(rows)
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.license_matches(frame(spark, rows)).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.99 * len(want) and len(want) > len(rows) // 2
 
 
 def test_anchors_are_necessary():
@@ -219,6 +241,17 @@ def test_mixture(spark):
     assert out.columns == wide.columns and out.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
 
 
+def test_mixture_by_shuffle_and_a_hot_length(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, "ab"[i % 3 == 0], "same words here") for i in range(900)] + [(1000 + i, rng.choice(["a", "c", None]), prose(rng, rng.randrange(0, 9))) for i in range(100)]
+    small = sorted(map(str, mixing.mixture(mix_rows(spark, rows)).collect()))
+    mixed = sorted(map(str, mixing.mixed(mix_rows(spark, rows)).collect()))
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 0)
+    assert sorted(map(str, mixing.mixture(mix_rows(spark, rows)).collect())) == small
+    assert sorted(map(str, mixing.mixed(mix_rows(spark, rows)).collect())) == mixed
+    assert mixing.mixed(mix_rows(spark, [])).count() == 0 and mixing.mixed(mix_rows(spark, [(1, None, None), (2, "a", " "), (None, None, "x y")])).distinct().count() == 1
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [1, 1, 1]) == [150.0] * 3
     assert mixing.targets([100, 1000], [3, 1]) == [200.0, 1450.0]
