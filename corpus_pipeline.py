@@ -19,7 +19,7 @@ ROW = "jaccard_row"
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go. Rows without text stay, repeated rows stay or go alike; no rows, no rows."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,7 +27,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each class of near copies the row with the smallest id stays; rows without an id come after all others.
 
     Each row is decided for itself, whatever others share its id. Rows without words stay, but of those with
-    equal ids and equal texts one.
+    equal ids and equal texts one; such rows without an id stay all. All other columns come along unread. An
+    empty table stays empty.
     """
     rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "jaccard-rows")
     classes = jaccard_classes(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "n_shingles", F.col("component_id").alias("class"))
@@ -41,17 +42,20 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Rows without text stay, repeated rows stay or go alike; no rows, no rows."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights, documents repeated as often as they are taken."""
+    """Sources in their target weights, documents repeated as often as they are taken.
+
+    Rows without words are not taken; a null source is one of its own; an empty table stays empty.
+    """
     return mixed(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records in binary files; a row per record, read back from them."""
+    """Token records in binary files; a row per record, read back from them. Null texts count as empty, rows without an id come first; no rows, no rows."""
     return token_records(docs, byte_bpe(), end_id=2)
 
 
