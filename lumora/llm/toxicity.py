@@ -2,11 +2,11 @@
 
 Folding decomposes compatibility forms (full-width letters, ligatures), drops marks and invisible characters,
 undoes look-alike letters and the digits and signs that stand for letters, joins words that are spelled out
-letter by letter, and leaves the words of a text separated by single spaces. The lexicon has whole words:
-a general one of insults, and those that labelled rows add. A word is added if the share of texts that hold it
-differs so much between the labels that chance does not explain it; near copies among the labelled texts count
-once, and a word's weight is bounded by the number of texts that show it. A word inside an exception phrase
-does not count. A text's matches, normalised by its length, become a score by a logistic function fitted on
+letter by letter, and leaves the words of a text separated by single spaces. The lexicon has whole words, and
+stems of STEM letters or more that words extend: a general list of insults, and what labelled rows add. A term
+is added if the share of texts that hold it differs so much between the labels that chance does not explain
+it; near copies among the labelled texts count once, and a term's weight is bounded by the number of texts that
+show it. A word inside an exception phrase does not count. A text's matches, normalised by its length, become a score by a logistic function fitted on
 the same rows.
 """
 
@@ -53,6 +53,8 @@ DEFAULT_TERMS = {w: 4.0 for w in (
 TRAIN_ROWS = 24_000
 #: A learnt word: least toxic texts that hold it, and least gain in log-likelihood (nats) over one rate for both labels.
 LEAST_TEXTS, LEAST_GAIN = 4, 12.0
+#: Letters of a stem: fewer open too many words, and what is longer has such a beginning, too.
+STEM, LONGEST_STEM = 6, 16
 
 
 def fold(text: str) -> str:
@@ -71,7 +73,7 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Terms start with a space; a term that also ends with one is a whole word, else a word's beginning."""
+    """Terms start with a space; a term that also ends with one is a whole word, else a stem, which a word must extend."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
@@ -107,7 +109,7 @@ class Lexicon:
             at = end - n + 1
             if w is None:
                 spared.append((at, end))
-            elif w > best.get(at, 0.0):
+            elif w > best.get(at, 0.0) and (folded[end] == " " or folded[end + 1] != " "):
                 best[at] = w
         for a, b in spared:
             for at in [x for x in best if a <= x < b]:
@@ -125,12 +127,18 @@ class Lexicon:
         return 1 / (1 + np.exp(-z))
 
 
+def _terms(text: str) -> set[str]:
+    """The terms that a text holds, without their first space."""
+    words = set(fold(text).split())
+    return {f"{w} " for w in words} | {w[:k] for w in words for k in range(STEM, min(LONGEST_STEM, len(w) - 1) + 1)}
+
+
 def _count_terms(batches):
-    """Per portion and word: texts of either label that hold it; the empty word stands for all texts."""
+    """Per portion and term: texts of either label that hold it; the empty term stands for all texts."""
     held: dict[str, list[int]] = {}
     for batch in batches:
         for text, toxic in zip(plain(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for t in {"", *fold(text).split()}:
+            for t in {"", *_terms(text)}:
                 row = held.get(t)
                 if row is None:
                     row = held[t] = [0, 0]
@@ -147,7 +155,7 @@ def _counted(held: dict[str, list[int]]) -> pa.RecordBatch:
 
 
 def _learnt(rows: DataFrame, clean: int, toxic: int) -> dict[str, float]:
-    """Weights of the words that tell the labels apart. ``rows``: term, clean, toxic (texts)."""
+    """Weights of the terms that tell the labels apart. ``rows``: term, clean, toxic (texts)."""
     a, b = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
     mean = (F.col("toxic") + F.col("clean")) / (toxic + clean)
     likely = lambda n, of, rate: n * F.log(rate) + F.when(of > n, (of - n) * F.log(F.greatest(1 - rate, F.lit(1e-12)))).otherwise(0.0)
@@ -215,7 +223,7 @@ def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
         rows.unpersist()
         counts.unpersist()
         return lexicon
-    lexicon.weights |= {f" {w} ": v for w, v in _learnt(counts, clean, toxic).items()}
+    lexicon.weights |= {f" {t}": v for t, v in _learnt(counts, clean, toxic).items()}
     counts.unpersist()
 
     def measure(batches, lexicon=lexicon):
