@@ -36,7 +36,7 @@ MASK = 0xA282EAD8
 #: Words that an encoder remembers before it starts anew.
 WORDS = 400_000
 #: Every so many texts, the tokenizer itself encodes one whole, too, and the ids must agree.
-CHECKED = 64
+CHECKED = 256
 
 
 def masked(data: bytes) -> int:
