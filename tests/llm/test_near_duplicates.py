@@ -218,6 +218,40 @@ def test_no_exact_passage_is_lost(spark):
             assert d in member or set(range(i, i + 50)) <= covered[d], (d, i)
 
 
+def test_near_copies_of_one_passage_are_tied(spark):
+    # 60 words, and ten copies with one other word each, which are like the first but not like each other
+    rng = random.Random(41)
+    texts, family = {}, {}
+    for g in range(30):
+        base = prose(rng, 60)
+        for c in range(11):
+            family[len(texts)] = g
+            texts[len(texts)] = changed(rng, base, 1 if c else 0)
+    rows = [(d, prose(rng, 40) + " " + t + " " + prose(rng, 40)) for d, t in texts.items()]
+    rng.shuffle(rows)
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    assert all(family[r["doc_id"]] == family[r["first_doc_id"]] for r in got)
+    sets = {d: shingles(t) for d, t in texts.items()}
+    mates = lambda d: [e for e in texts if e != d and family[e] == family[d] and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e])]
+    root = {d: d for d in texts}
+    for r in got:
+        a, b = root[r["doc_id"]], root[r["first_doc_id"]]
+        root = {d: min(a, b) if x in (a, b) else x for d, x in root.items()}
+    pairs = [(d, e) for d in texts for e in mates(d)]
+    lost = sum(root[d] != root[e] for d, e in pairs)
+    assert len(pairs) > 600 and lost / len(pairs) < 0.06
+
+
+def test_longest_stretch_against_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        same = rng.random(rng.integers(1, 60)) < rng.choice([0.3, 0.8, 0.95])
+        best = max((b - a + 1 for a in range(len(same)) for b in range(a, len(same)) if same[a] and same[b] and same[a : b + 1].sum() >= 8 * (~same[a : b + 1]).sum()), default=0)
+        a, b = passages._longest(same, 8)
+        # ends without a match are cut off, so one place more may be found elsewhere
+        assert b - a + 1 <= best and (best == 0 or b - a + 1 >= best - 8)
+
+
 def test_repeats_within_a_text(spark):
     rng = random.Random(33)
     twice, line = prose(rng, 55), prose(rng, 9)
