@@ -33,8 +33,8 @@ from lumora.llm._text import plain, slices
 
 MAGIC = b"LUMIDX01"
 MASK = 0xA282EAD8
-#: Words that an encoder remembers before it starts anew.
-WORDS = 400_000
+#: Words that an encoder remembers before it sets them aside, and bytes of texts.
+WORDS, TEXT_BYTES = 300_000, 32 << 20
 #: Every so many texts, the tokenizer itself encodes one whole, too, and the ids must agree.
 CHECKED = 256
 
@@ -93,7 +93,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
-        self.texts = 0
+        self.aside: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.texts = self.held = 0
         with open(file, encoding="utf-8") as f:
             about = json.load(f)
         pre = about.get("pre_tokenizer") or {}
@@ -121,9 +123,21 @@ class Encoder:
             at = cut.tolist()
             self.known.update((w, data[at[step * k] : at[step * k + 1]]) for k, w in enumerate(part))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > WORDS:
-            self.known.clear()
+    def _learn(self, words: set[str]) -> None:
+        """Words that were set aside are taken back as they are met; what is met no more goes with the next ones."""
+        for w in [w for w in words if w in self.aside]:
+            self.known[w] = self.aside[w]
+        spaced, bare, rest = [], [], []
+        for w in words - self.known.keys():
+            if w[0] == " ":
+                (spaced if w[1:] and not w[1].isspace() else rest).append(w)
+            else:
+                (rest if w[0].isspace() or w[0] == "'" else bare).append(w)
+        self._joined(spaced, "")
+        self._joined(bare, "\n")
+        self.known.update(zip(rest, self.whole(rest), strict=True))
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split: dict[int, list[str]] = {}
         for i, t in enumerate(texts):
@@ -133,24 +147,30 @@ class Encoder:
                 except UnicodeEncodeError:
                     continue
                 split[i] = _SPLIT.findall(t)
-        new = set().union(*split.values()) - self.known.keys()
-        if new:
-            spaced = sorted(w for w in new if w[0] == " " and w[1:] and not w[1].isspace())
-            bare = sorted(w for w in new if not w[0].isspace() and w[0] != "'")
-            rest = sorted(new.difference(spaced, bare))
-            self._joined(spaced, "")
-            self._joined(bare, "\n")
-            self.known.update(zip(rest, self.whole(rest), strict=True))
+        self._learn(set().union(*split.values()) - self.known.keys())
         get = self.known.__getitem__
         for i, found in split.items():
             out[i] = b"".join(map(get, found))
         late = [i for i, b in enumerate(out) if b is None]
         for i, b in zip(late, self.whole([texts[i] for i in late]), strict=True):
             out[i] = b
-        checked = [i for i in sorted(split) if (self.texts + i) % CHECKED == 0]
+        checked = [i for i in split if (self.texts + i) % CHECKED == 0]
         if [out[i] for i in checked] != self.whole([texts[i] for i in checked]):
             raise ValueError("the words of a text and the tokenizer disagree")
         self.texts += len(texts)
+        if len(self.known) > WORDS:
+            self.known, self.aside = {}, self.known
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Texts that repeat are encoded once, as long as they are remembered."""
+        new = list(dict.fromkeys(t for t in texts if t not in self.recent))
+        found = dict(zip(new, self._encoded(new), strict=True))
+        out = [found[t] if t in found else self.recent[t] for t in texts]
+        self.held += sum(map(len, new))
+        if self.held > TEXT_BYTES:
+            self.recent, self.held = {}, 0
+        self.recent |= found
         return out
 
 
