@@ -4,8 +4,10 @@
    so exact copies are one set from here on.
 2. Rare-first prefixes. Shingles go in packed blocks to counting groups, which return how many sets hold
    each; shingles in one set only are dropped there. Ordered by that count, a set may stop once more of its
-   shingles are unique than its partners could miss. Of sets above ``SMALL`` shingles only the half of the
-   hash space is counted: a partner misses at most as many of that half as of the whole, so nothing is lost.
+   shingles are unique than its partners could miss. Of sets above ``SMALL`` shingles only the low half of the
+   hash space is counted: a partner misses at most as many of that half as of the whole, so nothing is lost. A
+   set that has too few shingles there to tell is joined over the high half, too, and with it every set that
+   could be its partner: those with at most 45 % of their shingles in the low half.
    Shingles that very many sets hold never travel by document: their counts are known to the map side.
 3. Sets that share a prefix shingle are joined into candidate classes, which are exact supersets of the
    linked classes. A class is solved by ``linked_sets`` in memory; one above ``class_shingles`` is dealt in
@@ -46,13 +48,23 @@ def _least_partner(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return (n * num + den - 1) // den
 
 
-def _join_spaces(sets: list[np.ndarray], digests: np.ndarray):
-    """(virtual id, n, 56-bit keys) of each set in each of the two spaces it is joined in."""
+def _setid(digests: np.ndarray) -> np.ndarray:
+    """Digests as the names of sets; their last two bits number the spaces that a set is joined in."""
+    return digests.view(np.int64) >> 2 << 2
+
+
+def _join_spaces(sets: list[np.ndarray], digests: np.ndarray, small: int = SMALL, reach: int = REACH):
+    """(virtual id, n, 56-bit keys) of each set in each of the spaces it is joined in."""
     for s, d in zip(sets, digests, strict=True):
-        if 0 < len(s) <= REACH:
-            yield d & ~U64(1), len(s), np.unique(T.mix(s ^ _SMALL_SPACE) >> U64(8))
-        if len(s) > SMALL:
-            yield d | U64(1), len(s), np.unique(s[: np.searchsorted(s, U64(1 << 63))] >> U64(8))
+        d = d & ~U64(3)
+        if 0 < len(s) <= reach:
+            yield d, len(s), np.unique(T.mix(s ^ _SMALL_SPACE) >> U64(8))
+        if len(s) > small:
+            cut = int(np.searchsorted(s, U64(1 << 63)))
+            yield d | U64(1), len(s), np.unique(s[:cut] >> U64(8))
+            # one with 1/5 of its shingles below the cut, or fewer, shares 4/5 with a partner of at most 5/4 its size
+            if 20 * cut <= 9 * len(s):
+                yield d | U64(2), len(s), np.unique(s[cut:] >> U64(8))
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], k: int):
@@ -92,7 +104,7 @@ def _counts_ahead(k: int):
             for a, b in T.slices(column):
                 sets, digests = T.shingle_sets(T.words(column.slice(a, b - a)), k)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(digests.view(np.int64), mask=n == 0)], ["doc_id", "n", "setid"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(_setid(digests), mask=n == 0)], ["doc_id", "n", "setid"])
     return run
 
 
@@ -182,7 +194,7 @@ _COUNTED = "portion long, kind int, keys binary, refs binary, counts binary"
 
 
 def _prefixes(num: int, den: int, hot):
-    """Prefix postings of one portion: key, set, and whether the set's sample was too small to decide."""
+    """Prefix postings of one portion: key and set."""
     def run(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_numpy()
         head = np.frombuffer(table["keys"][int(np.flatnonzero(kinds == 1)[0])].as_py(), np.uint8)
@@ -203,10 +215,7 @@ def _prefixes(num: int, den: int, hot):
         place = np.arange(len(keys)) - np.repeat(np.concatenate(([0], np.cumsum(shared)[:-1])), shared) + (m - shared)[refs]
         most = n - _least_partner(n, num, den)
         kept = place <= most[refs]
-        undecided = np.flatnonzero(m <= most)
-        key = np.concatenate((keys[kept].view(np.int64), np.zeros(len(undecided), np.int64)))
-        who = np.concatenate((vids[refs[kept]], vids[undecided])).view(np.int64)
-        return pa.table([pa.array(key), pa.array(who >> 1 << 1), pa.array(np.arange(len(key)) >= kept.sum())], ["key", "setid", "undecided"])
+        return pa.table([pa.array(keys[kept].view(np.int64)), pa.array(_setid(vids[refs[kept]]))], ["key", "setid"])
     return run
 
 
@@ -317,7 +326,7 @@ def _sets_of(k: int, wanted):
             column, have = T.plain(batch.column(0)), set()
             for a, b in T.slices(column):
                 sets, digests = T.shingle_sets(T.words(column.slice(a, b - a)), k)
-                digests = digests.view(np.int64) >> 1 << 1
+                digests = _setid(digests)
                 keep = np.array([len(s) > 0 for s in sets], bool)
                 if ids is not None:
                     keep &= ids[np.minimum(np.searchsorted(ids, digests), len(ids) - 1)] == digests
@@ -388,7 +397,7 @@ def jaccard_classes(documents: DataFrame, num: int = 4, den: int = 5, k: int = 5
     spark = documents.sparkSession
     text, both = columns(documents, "text"), columns(documents, "text", "doc_id")
     both = both.select("text", F.col("doc_id").cast("long"))
-    meta = written(both.mapInArrow(_counts_ahead(k), "doc_id long, n long, setid long"), "jaccard-sets").withColumn("setid", F.expr("(setid >> 1) << 1"))
+    meta = written(both.mapInArrow(_counts_ahead(k), "doc_id long, n long, setid long"), "jaccard-sets")
     rows, shingles = meta.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = meta.where("n > 0").groupBy("setid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
 
@@ -397,13 +406,7 @@ def jaccard_classes(documents: DataFrame, num: int = 4, den: int = 5, k: int = 5
     hot = spark.sparkContext.broadcast((hot["key"].to_numpy().view(np.uint64), hot["sets"].to_numpy()))
     buckets = max(12, ceil(shingles / 1_500_000))
     counted = text.mapInArrow(_blocks(k, buckets, hot), _BLOCK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count_bucket, _COUNTED)
-    postings = written(counted.groupBy("portion").applyInArrow(_prefixes(num, den, hot), "key long, setid long, undecided boolean").distinct(), "jaccard-postings")
-    # A sample that leaves a set undecided (a chance below 1e-10 a set): all sets of its reach are one candidate class.
-    loose = postings.where("undecided").limit(1).count()
-    if loose:
-        listed = groups.select(F.lit(0).cast("long").alias("key"), "setid")
-    else:
-        listed = postings.select("key", "setid").distinct()
+    listed = written(counted.groupBy("portion").applyInArrow(_prefixes(num, den, hot), "key long, setid long").distinct(), "jaccard-postings")
     hubs = listed.groupBy("key").agg(F.min("setid").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     edges = listed.join(hubs, "key").where("setid <> hub").select(F.col("setid").alias("a"), F.col("hub").alias("b"))
     classes = written(connected(edges, "jaccard-candidates").withColumnsRenamed({"node": "setid"}), "jaccard-classes").join(groups, "setid")

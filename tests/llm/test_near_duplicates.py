@@ -87,6 +87,29 @@ def test_linked_sets_against_brute_force():
         assert set(zip(x.tolist(), y.tolist(), strict=True)) == want
 
 
+def test_every_link_has_a_space():
+    """Linked sets share a prefix key in a space that both are in, however few shingles the low half has."""
+    rng = np.random.default_rng(9)
+    odd = 0
+    for _ in range(300):
+        base = rng.integers(1, 1 << 64, rng.integers(9, 40), dtype=np.uint64)
+        if rng.random() < 0.5:
+            base |= np.where(rng.random(len(base)) < 0.9, np.uint64(1 << 63), np.uint64(0))
+        sets = [np.unique(np.concatenate((base[rng.random(len(base)) > 0.06], rng.integers(1, 1 << 64, rng.integers(0, 3), dtype=np.uint64)))) for _ in range(6)]
+        rows = list(jaccard_join._join_spaces(sets, np.arange(6, dtype=np.uint64) << np.uint64(8), 8, 10))
+        counts = Counter(k for _, _, keys in rows for k in keys.tolist())
+        prefix = {}
+        for vid, n, keys in rows:
+            ranked = sorted(keys.tolist(), key=lambda k: (counts[k], k))
+            prefix[int(vid)] = set(ranked[: int(n) - (4 * int(n) + 4) // 5 + 1])
+            odd += vid & np.uint64(3) == 1 and len(keys) <= n - (4 * n + 4) // 5
+        for i in range(6):
+            for j in range(i):
+                if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+                    assert any(prefix.get(i << 8 | space, set()) & prefix.get(j << 8 | space, set()) for space in range(3))
+    assert odd > 50
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3), (101, 100)]
     got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long")).collect()))
