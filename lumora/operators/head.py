@@ -56,17 +56,20 @@ class _Head:
         self.blocks._fs.mkdirs(self.blocks._path(f"{self.root}/wal"))
         self.counters, self.last_flush = Counters(), int(time.time() * 1000)
         held = [int(n.split("-")[0]) for n in self._bodies()]
-        self.next = max([0, *held, *self._flushed()]) + 1
+        self.next = max([0, *held, self._flushed()]) + 1
 
     def _bodies(self) -> list[str]:
         """Names (number-bytes.json) of the bodies in the log."""
         names = [s.getPath().getName() for s in self.blocks._fs.listStatus(self.blocks._path(f"{self.root}/wal"))]
         return sorted(n for n in names if n.endswith(".json"))
 
-    def _flushed(self) -> list[int]:
+    def _flushed(self) -> int:
         """The number up to which bodies are in blocks; a body of such a number is left over from a flush."""
-        path = f"{self.root}/flushed.json"
-        return [int(self.blocks._get(path))] if self.blocks._fs.exists(self.blocks._path(path)) else []
+        return max([0, *(int(n.split("-")[1].split(".")[0]) for n in self._marks())])
+
+    def _marks(self) -> list[str]:
+        names = [s.getPath().getName() for s in self.blocks._fs.listStatus(self.blocks._path(self.root))]
+        return [n for n in names if n.startswith("flushed-") and n.endswith(".json")]
 
     def append(self, raw: bytes, content_type: str | None = None) -> int:
         """Checks and stores a body; the number of its rows. IngestError if it is rejected, and nothing is stored."""
@@ -90,16 +93,19 @@ class _Head:
 
     def flush(self) -> bool:
         """Makes a block of all bodies in the log. A flush that is cut short is repeated: rows are told apart by their write order."""
-        names = [n for n in self._bodies() if int(n.split("-")[0]) > max([0, *self._flushed()])]
+        number = lambda name: int(name.split("-")[0])
+        done = self._flushed()
+        names = [n for n in self._bodies() if number(n) > done]
         if names:
             dimension, facts = self._frames(self._held(names))
             self.blocks.flush(facts, dimension)
-            path = self.blocks._path(f"{self.root}/flushed.json")
-            self.blocks._fs.delete(path, False)
-            self.blocks._put(f"{self.root}/flushed.json", str(int(names[-1].split("-")[0])).encode())
+            old, done = self._marks(), number(names[-1])
+            self.blocks._put(f"{self.root}/flushed-{done:012d}.json", b"")
+            for n in old:  # there is a mark at any time, so numbers never start anew
+                self.blocks._fs.delete(self.blocks._path(f"{self.root}/{n}"), False)
             self.counters.done["flushes"] += 1
         for n in self._bodies():
-            if int(n.split("-")[0]) <= max([0, *self._flushed()]):
+            if number(n) <= done:
                 self.blocks._fs.delete(self.blocks._path(f"{self.root}/wal/{n}"), False)
         return bool(names)
 
