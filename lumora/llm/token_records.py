@@ -125,10 +125,12 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Words that were set aside are taken back as they are met; what is met no more goes with the next ones."""
-        for w in [w for w in words if w in self.aside]:
-            self.known[w] = self.aside[w]
+        if self.aside:
+            back = [w for w in words if w in self.aside]
+            self.known.update(zip(back, map(self.aside.__getitem__, back), strict=True))
+            words.difference_update(back)
         spaced, bare, rest = [], [], []
-        for w in words - self.known.keys():
+        for w in words:
             if w[0] == " ":
                 (spaced if w[1:] and not w[1].isspace() else rest).append(w)
             else:
