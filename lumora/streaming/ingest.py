@@ -25,14 +25,15 @@ def read_bodies(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select("value", *[F.col(f"_metadata.{c}").alias(c) for c in _FILE])
 
 
-def numbered(batch: DataFrame) -> DataFrame:
-    """A finished batch with column ``_body``: 0, 1, 2 ... by file time, file, place in the file.
-
-    Rows are sorted over all tasks; a task numbers its own, and the sizes of the tasks before it are added.
-    """
+def sorted_bodies(batch: DataFrame) -> DataFrame:
+    """A finished batch by file time, file and place in the file, with column ``_id``: task and place in the task. It is kept until it is unpersisted."""
     files = [c for c in _FILE if c in batch.columns]
-    rows = batch.withColumn("_read", F.monotonically_increasing_id())
-    rows = rows.orderBy(*files, "_read").withColumn("_id", F.monotonically_increasing_id()).persist()
+    rows = batch.withColumn("_read", F.monotonically_increasing_id()).orderBy(*files, "_read")
+    return rows.drop("_read").withColumn("_id", F.monotonically_increasing_id()).persist()
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Sorted bodies with column ``_body``: 0, 1, 2 ... over all tasks. The sizes of the tasks before are added to the place in a task."""
     sizes = {r[0]: r[1] for r in rows.groupBy(F.shiftright("_id", 33).alias("task")).count().collect()}
     if sum(sizes.values()) > BODIES:
         raise ValueError(f"a batch has more than {BODIES} bodies: lower files_per_batch")
@@ -41,20 +42,24 @@ def numbered(batch: DataFrame) -> DataFrame:
         before[task] = held
         held += sizes[task]
     offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in (before or {0: 0}).items() for x in pair]), F.shiftright("_id", 33))
-    return rows.withColumn("_body", offset + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_read", "_id")
+    return rows.withColumn("_body", offset + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
 
 
 def _append(kind: str, out: str):
     def write(batch: DataFrame, number: int) -> None:
         order = F.lit(number).cast("long") * F.lit(BODIES) + F.col("_body")
-        if kind == "metrics":
-            rows = metric_frame(numbered(batch), gen=order)
-            rows = rows.withColumn("day", F.call_function("div", F.col("ts_ms"), F.lit(86_400_000)))
-        else:
-            rows = log_frame(numbered(batch), seq=order)
-            rows = rows.withColumn("day", F.call_function("div", F.col("ts_ns"), F.lit(86_400 * 10**9)))
-        # a batch that is repeated after a failure replaces its own folder
-        rows.repartitionByRange("day", "labels_key").sortWithinPartitions("labels_key").write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={number}")
+        held = sorted_bodies(batch)
+        try:
+            if kind == "metrics":
+                rows = metric_frame(numbered(held), gen=order)
+                rows = rows.withColumn("day", F.call_function("div", F.col("ts_ms"), F.lit(86_400_000)))
+            else:
+                rows = log_frame(numbered(held), seq=order)
+                rows = rows.withColumn("day", F.call_function("div", F.col("ts_ns"), F.lit(86_400 * 10**9)))
+            # a batch that is repeated after a failure replaces its own folder
+            rows.repartitionByRange("day", "labels_key").sortWithinPartitions("labels_key").write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={number}")
+        finally:
+            held.unpersist()
     return write
 
 
