@@ -38,7 +38,7 @@ from lumora.llm.components import connected
 U64 = np.uint64
 #: Sets up to SMALL shingles are joined over all shingles, sets above 4/5 of REACH over the sampled half.
 SMALL, REACH = 128, 160
-FLUSH_SHINGLES, FLUSH_SETS = 1_500_000, 60_000
+FLUSH_SHINGLES, FLUSH_SETS = 1_000_000, 60_000
 #: A shingle in more than this share of all documents, and in HOT_LEAST, is counted ahead. There are at most (shingles of an average document) / HOT_SHARE such.
 HOT_SHARE, HOT_LEAST = 0.002, 1000
 _SMALL_SPACE = U64(0x6A09E667F3BCC909)
@@ -404,7 +404,7 @@ def jaccard_classes(documents: DataFrame, num: int = 4, den: int = 5, k: int = 5
     least = max(HOT_LEAST, HOT_SHARE * rows)
     hot = text.mapInArrow(_frequent(k), "key long, sets long").groupBy("key").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= least).orderBy("key").toArrow()
     hot = spark.sparkContext.broadcast((hot["key"].to_numpy().view(np.uint64), hot["sets"].to_numpy()))
-    buckets = max(12, ceil(shingles / 1_500_000))
+    buckets = max(12, ceil(shingles / 750_000))
     counted = text.mapInArrow(_blocks(k, buckets, hot), _BLOCK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count_bucket, _COUNTED)
     listed = written(counted.groupBy("portion").applyInArrow(_prefixes(num, den, hot), "key long, setid long").distinct(), "jaccard-postings")
     hubs = listed.groupBy("key").agg(F.min("setid").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
@@ -421,7 +421,7 @@ def jaccard_classes(documents: DataFrame, num: int = 4, den: int = 5, k: int = 5
     sets = written(sets.groupBy("setid").agg(F.first("shingles").alias("shingles"), F.first("root").alias("root"), F.first("first").alias("first"), F.first("copies").alias("copies")), "jaccard-members")
     sized = sets.groupBy("root").agg((F.sum(F.length("shingles")) / 8).cast("long").alias("total"))
     small = sets.join(sized.where(F.col("total") <= class_shingles), "root")
-    packs = int(max(12, ceil((sized.agg(F.sum("total")).first()[0] or 0) / 750_000)))
+    packs = int(max(12, ceil((sized.agg(F.sum("total")).first()[0] or 0) / 400_000)))
     solved = small.withColumn("pack", F.pmod(F.xxhash64("root"), F.lit(packs))).groupBy("pack").applyInArrow(_solve_classes(num, den), "setid long, component long, links long")
     large = sized.where(F.col("total") > class_shingles)
     if large.limit(1).count():

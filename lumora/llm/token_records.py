@@ -33,8 +33,8 @@ from lumora.llm._text import plain, slices
 
 MAGIC = b"LUMIDX01"
 MASK = 0xA282EAD8
-#: Words that an encoder remembers before it sets them aside, and bytes of texts.
-WORDS, TEXT_BYTES = 500_000, 32 << 20
+#: Words that an encoder remembers before it sets them aside.
+WORDS = 200_000
 #: Every so many texts, the tokenizer itself encodes one whole, too, and the ids must agree.
 CHECKED = 256
 
@@ -94,8 +94,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         self.aside: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
-        self.texts = self.held = 0
+        self.texts = 0
         with open(file, encoding="utf-8") as f:
             about = json.load(f)
         pre = about.get("pre_tokenizer") or {}
@@ -165,15 +164,10 @@ class Encoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Texts that repeat are encoded once, as long as they are remembered."""
-        new = list(dict.fromkeys(t for t in texts if t not in self.recent))
+        """Texts that repeat are encoded once."""
+        new = list(dict.fromkeys(texts))
         found = dict(zip(new, self._encoded(new), strict=True))
-        out = [found[t] if t in found else self.recent[t] for t in texts]
-        self.held += sum(map(len, new))
-        if self.held > TEXT_BYTES:
-            self.recent, self.held = {}, 0
-        self.recent |= found
-        return out
+        return [found[t] for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -198,7 +192,7 @@ def _write(folder: str, tokenizer_file: str, end_id: int):
         out = None
         for batch in batches:
             ids, column = batch.column(0), plain(batch.column(1))
-            for a, b in slices(column, 4 << 20):
+            for a, b in slices(column, 2 << 20):
                 encoded = encode(column.slice(a, b - a).to_pylist())
                 if out is None:
                     fs.create_dir(root, recursive=True)
