@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +38,29 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumora-{name}-{uuid.uuid4().hex}"
 
 
+_released = [0.0]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files that nothing refers to any more, every few seconds at most.
+
+    It does so when the driver collects garbage, which a driver with little to do may put off for long, while
+    the files of all steps so far fill the executors' disks.
+    """
+    if time.monotonic() - _released[0] > 3:
+        spark.sparkContext._jvm.java.lang.System.gc()
+        _released[0] = time.monotonic()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: a cut in the lineage that outlives executors."""
+    """``df`` written to the shared folder and read back: a cut in the lineage that outlives executors.
+
+    What was shuffled for it is of no use from here on and may go.
+    """
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
