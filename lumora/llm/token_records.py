@@ -34,7 +34,7 @@ from lumora.llm._text import plain, slices
 MAGIC = b"LUMIDX01"
 MASK = 0xA282EAD8
 #: Words that an encoder remembers before it sets them aside.
-WORDS = 200_000
+WORDS = 260_000
 #: Every so many texts, the tokenizer itself encodes one whole, too, and the ids must agree.
 CHECKED = 256
 
