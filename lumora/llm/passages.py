@@ -6,20 +6,19 @@ of the Cartesian tree over the values with its subtree. Only windows that hold a
 matter; there are about 2 n / LEAST of them. Two passages that agree meet in their least shingle under every
 hash, near-duplicates under most.
 
-1. Windows meet by key: first within the portion of one task, where those of a key are tied to one window
-   that alone travels on, then across tasks, again tied to one. Groups of any size yield as many pairs as
-   members, and a shuffle sees a portion's shared key once. The key of a plain hash is the least shingle. The
-   first hash has two keys in its place: the ``CONTEXT`` shingles from the least one on, and those up to it.
-   A text that repeats itself has each of its windows tied to the one before.
+1. Windows meet by key, across all texts. The key of a plain hash is the least shingle. The first hash has two
+   keys in its place: the ``CONTEXT`` shingles from the least one on, and those up to it. Each two texts of a key
+   are a pair. A text that repeats itself has each of its windows tied to the one before.
 2. Pairs of texts that share a context, or the least shingles of ``ENOUGH`` plain hashes on about the same
-   diagonal, are verified on the shingles themselves.
-3. A pair that fails is not the end of a text: it is compared with texts that are like the one it was tied to
-   at the same place, and with the first others that failed there.
-4. What a text shares with another member of its group, but not with the window they are both tied to, is
-   still missing. So every run of LEAST words around a tied least shingle that no verified passage of its
-   text covers is hashed whole, and equal runs are tied; they are exact passages. An exact passage lies in windows whose
-   contexts agree to one side at least; its runs are therefore either verified or hashed here: no exact
-   passage is lost, whatever else shares its words.
+   diagonal, are verified on the shingles themselves: first those with the least text of a key, then the others,
+   unless both texts are tied to that one around the key.
+3. A key of more than ``TOGETHER`` windows is solved as a group, on the shingles around it: every member that is not
+   in the largest class is held against all members outside its own class, so no two classes are left that a verified
+   pair would tie. Members that share too few shingles with another one for a passage are told apart by counting.
+4. Exact passages: every run of LEAST words around a tied least shingle that no verified passage of its text with a
+   lesser one covers is hashed whole, and equal runs are tied. An exact passage lies in windows whose contexts agree
+   to one side at least; its runs are therefore either verified or hashed here: no exact passage is lost, whatever
+   else shares its words.
 
 Equal texts count as one text.
 """
@@ -43,8 +42,9 @@ RUN = LEAST - SHINGLE + 1
 CONTEXT = RUN // 2
 #: Words by which near-duplicate passages may be displaced against each other within their windows.
 SLACK, DIAGONALS = 16, 64
-#: Words of the places by which failed pairs look for others, the others of each kind, and times that they do.
-CELL, HELPERS, ROUNDS = 64, 2, 2
+#: Windows of a key that are paired each with each; more are solved as a group, on REACH shingles to both sides of the
+#: least one. Groups above BLOCK windows are solved in pairs of blocks.
+TOGETHER, REACH, BLOCK = 24, 96, 10_000
 FLUSH_WINDOWS = 200_000
 #: Windows of a bucket, as estimated from the number of words.
 BUCKET_WINDOWS = 200_000
@@ -93,13 +93,18 @@ def _runs(w: T.Words) -> np.ndarray:
     return runs
 
 
+def _sums(runs: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(runs * T._power_table(T._RATIO, len(runs)), dtype=np.uint64)))
+
+
 def _spans(runs: np.ndarray, width: int) -> np.ndarray:
     """A hash of each ``width`` shingles from a place on; 0 where they do not lie in one text."""
     n = len(runs) - width + 1
     if n <= 0:
         return np.zeros(len(runs), np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(runs * T._power_table(T._RATIO, len(runs)), dtype=np.uint64)))
+        sums = _sums(runs)
         got = T.mix((sums[width:] - sums[:-width]) * T._power_table(T._INVERSE, len(runs))[:n]) | U64(1)
     breaks = np.concatenate(([0], np.cumsum(runs == 0)))
     out = np.zeros(len(runs), np.uint64)
@@ -107,8 +112,24 @@ def _spans(runs: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _new(key, text, at, left, right, sums) -> np.ndarray:
+    """False for a window whose words within REACH an earlier window of its text and key has as well, around the same shingle."""
+    order = np.lexsort((at, text, key))
+    k, t, a = key[order], text[order], at[order]
+    left, right = np.minimum(left[order], REACH), np.minimum(right[order], REACH)
+    again = np.flatnonzero((k[1:] == k[:-1]) & (t[1:] == t[:-1])) + 1
+    again = again[(left[again] <= left[again - 1]) & (right[again] <= right[again - 1])]
+    a0, a1, l, r = a[again - 1], a[again], left[again], right[again] + 1
+    with np.errstate(over="ignore"):
+        scale = T._power_table(T._INVERSE, len(sums))
+        same = (sums[a0 + r] - sums[a0 - l]) * scale[a0 - l] == (sums[a1 + r] - sums[a1 - l]) * scale[a1 - l]
+    out = np.ones(len(key), bool)
+    out[order[again[same]]] = False
+    return out
+
+
 def _windows(batches):
-    """Portions of windows: key, text, place, reach to the left and to the right, and bit."""
+    """Portions of windows: key, text, place, reach to the left and to the right, bit, and whether it travels."""
     held: list[tuple] = []
     seen: set[int] = set()
     count = 0
@@ -120,6 +141,7 @@ def _windows(batches):
             fresh = np.array([int(t) not in seen and not seen.add(int(t)) for t in tid], bool)
             runs = _runs(w)
             spans = _spans(runs, CONTEXT)
+            sums = _sums(runs)
             for j in range(HASHES):
                 with np.errstate(over="ignore"):
                     mixed = T.mix(runs ^ _SEEDS[j])
@@ -133,7 +155,8 @@ def _windows(batches):
                 else:
                     keys = [(j, slice(None), mixed[at])]
                 for bit, i, key in keys:
-                    held.append((key >> U64(8), tid[text[i]], at[i] - w.ptr[text[i]], at[i] - first[i], last[i] - at[i], np.full(len(key), bit)))
+                    left, right = at[i] - first[i], last[i] - at[i]
+                    held.append((key >> U64(8), tid[text[i]], at[i] - w.ptr[text[i]], left, right, np.full(len(key), bit), _new(key, text[i], at[i], left, right, sums)))
                     count += len(key)
             if count >= FLUSH_WINDOWS:
                 yield [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -142,13 +165,13 @@ def _windows(batches):
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-_PAIR = ["text", "other", "shift", "low", "high", "hashes", "first", "last"]
-_PAIR_TYPE = "text long, other long, shift int, low int, high int, hashes int, first int, last int"
+_PAIR = ["text", "other", "shift", "low", "high", "hashes", "first", "last", "via"]
+_PAIR_TYPE = "text long, other long, shift int, low int, high int, hashes int, first int, last int, via long"
 
 
 def _tie(key, tid, at, left, right, j):
-    """Ties the windows of a key to that of its least text, and repeats in one text to those before: pairs, and the
-    places of the windows that stand for their keys. A pair's first and last are the least shingle's place."""
+    """Ties equal runs to that of the least text, and repeats in one text to those before: pairs, and the places of
+    the runs that stand for their keys. A pair's first and last are the run's place."""
     order = np.lexsort((at, tid, key))
     k, t = key[order], tid[order]
     new = np.concatenate(([True], k[1:] != k[:-1]))
@@ -160,22 +183,67 @@ def _tie(key, tid, at, left, right, j):
     # a text of several portions: its windows come again at the same places
     tied &= ~(again & (at[order] == at[order[lead]]))
     m, lead = order[tied], order[lead[tied]]
+    return _tied(m, lead, tid, at, left, right, j), order[head]
+
+
+def _repeats(key, tid, at, left, right, j, new):
+    """Ties each window of a text to the one before of its key: pairs, and the windows that travel."""
+    order = np.lexsort((at, tid, key))
+    k, t = key[order], tid[order]
+    m = np.flatnonzero((k[1:] == k[:-1]) & (t[1:] == t[:-1])) + 1
+    return _tied(order[m], order[m - 1], tid, at, left, right, j), order[new[order]]
+
+
+def _tied(m, lead, tid, at, left, right, j) -> tuple:
     shift = at[lead] - at[m]
     low = np.maximum(at[m] - left[m], at[lead] - left[lead] - shift)
     high = np.minimum(at[m] + right[m], at[lead] + right[lead] - shift)
-    return (tid[m], tid[lead], shift, low, high, 1 << j[m], at[m], at[m]), order[head]
+    return tid[m], tid[lead], shift, low, high, 1 << j[m], at[m], at[m], tid[lead]
+
+
+def _groups(key, tid, at, left, right, j) -> tuple[tuple, tuple]:
+    """All pairs of texts that share a key, via the first of these texts, and instead of those of a large group its
+    windows, as rows like pairs: text, key, place, reach to the left and to the right, less than 0 the bit, twice the
+    place again, and how far words right of it count.
+
+    Windows of a text and key that start within RUN words of each other are one, up to REACH words together.
+    """
+    order = np.lexsort((at, tid, key))
+    k, t, a, right = key[order], tid[order], at[order], right[order]
+    # a text of several portions: its windows come again at the same places
+    near = np.concatenate(([False], (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (a[1:] <= a[:-1] + RUN)))
+    head = np.flatnonzero(~near)
+    part = (a - np.repeat(a[head], np.diff(np.append(head, len(k))))) // REACH
+    head = np.flatnonzero(~near | np.concatenate(([True], part[1:] != part[:-1])))
+    spread = a[np.append(head[1:], len(k)) - 1] - a[head]
+    counts = np.maximum.reduceat(a + np.minimum(right, REACH), head) - a[head]
+    right = np.maximum.reduceat(a + right, head) - a[head] + spread
+    k, tid, at, left, j = k[head], t[head], a[head], left[order[head]], j[order[head]]
+    new = np.concatenate(([True], k[1:] != k[:-1]))
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(k)))
+    texts = np.add.reduceat(np.concatenate(([True], new[1:] | (tid[1:] != tid[:-1]))).astype(np.int64), head)
+    rank = np.arange(len(k)) - np.repeat(head, size)
+    rank[np.repeat((texts < 2) | (size > TOGETHER), size)] = 0
+    m = np.repeat(np.arange(len(k)), rank)
+    lead = m - 1 - (np.arange(len(m)) - np.repeat(np.cumsum(rank) - rank, rank))
+    ok = tid[m] != tid[lead]
+    m, lead = m[ok], lead[ok]
+    pairs = (*_tied(m, lead, tid, at, left, right, j)[:-1], np.repeat(tid[head], size)[m])
+    i = np.flatnonzero(np.repeat((texts > 1) & (size > TOGETHER), size))
+    return pairs, (tid[i], k[i].view(np.int64), at[i], left[i], right[i], -(1 << j[i]), at[i], at[i], counts[i])
 
 
 def _merge(pairs: tuple) -> list[np.ndarray]:
     """One row for each pair of texts and diagonal."""
-    text, other, shift, low, high, hashes, first, last = (np.asarray(x, np.int64) for x in pairs)
+    text, other, shift, low, high, hashes, first, last, via = (np.asarray(x, np.int64) for x in pairs)
     if not len(text):
-        return [text, other, *(x.astype(np.int32) for x in (shift, low, high, hashes, first, last))]
+        return [text, other, *(x.astype(np.int32) for x in (shift, low, high, hashes, first, last)), via]
     order = np.lexsort((shift, other, text))
-    text, other, shift, low, high, hashes, first, last = (x[order] for x in (text, other, shift, low, high, hashes, first, last))
+    text, other, shift, low, high, hashes, first, last, via = (x[order] for x in (text, other, shift, low, high, hashes, first, last, via))
     head = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (other[1:] != other[:-1]) | (shift[1:] != shift[:-1]))))
     least, most = (lambda x: np.minimum.reduceat(x, head)), (lambda x: np.maximum.reduceat(x, head))
-    return [text[head], other[head], *(x.astype(np.int32) for x in (shift[head], least(low), most(high), np.bitwise_or.reduceat(hashes, head), least(first), most(last)))]
+    return [text[head], other[head], *(x.astype(np.int32) for x in (shift[head], least(low), most(high), np.bitwise_or.reduceat(hashes, head), least(first), most(last))), most(via)]
 
 
 def _pack(arrays: list[np.ndarray], widths: tuple[int, ...]) -> bytes:
@@ -193,14 +261,15 @@ def _unpack(data: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-_WINDOW, _PAIRS = (7, 8, 4, 4, 4, 1), (8, 8, 8, 8, 8, 1, 8, 8)
+_WINDOW, _PAIRS = (7, 8, 4, 4, 4, 1), (8, 8, 8, 8, 8, 1, 8, 8, 8)
 
 
-def _deal(buckets: int, source=_windows, merge=_merge):
-    """The windows that stand for a portion's keys, by bucket (kind 0), and the pairs made in it (kind 1)."""
+def _deal(buckets: int, source=_windows, merge=_merge, tie=_repeats):
+    """The windows of a portion that travel, by bucket (kind 0), and the pairs made in it (kind 1)."""
     def run(batches):
-        for key, tid, at, left, right, j in source(batches):
-            pairs, kept = _tie(key, tid, at, left, right, j)
+        for portion in source(batches):
+            key, tid, at, left, right, j = portion[:6]
+            pairs, kept = tie(*portion)
             cols = [np.asarray(x)[kept] for x in (key.view(np.int64), tid, at, left, right, j)]
             bucket = ((cols[0] >> 32) * buckets) >> 24
             groups = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -214,34 +283,42 @@ def _deal(buckets: int, source=_windows, merge=_merge):
     return run
 
 
-def _met(table: pa.Table, merge) -> pa.Table:
-    """Pairs of a bucket: those that portions made, and those between portions."""
+def _met(table: pa.Table) -> tuple[list, list]:
+    """The pairs that portions made, and the windows that travelled."""
     kinds = table["kind"].to_numpy()
-    out = [_unpack(table["data"][int(i)].as_py(), _PAIRS) for i in np.flatnonzero(kinds == 1)]
-    each = [_unpack(table["data"][int(i)].as_py(), _WINDOW) for i in np.flatnonzero(kinds == 0)]
-    if each:
-        pairs, _ = _tie(*(np.concatenate(x) for x in zip(*each, strict=True)))
-        out.append([np.asarray(x, np.int64) for x in pairs])
-    merged = merge(tuple(np.concatenate(x) for x in zip(*out, strict=True))) if out else _merge(((),) * 8)
-    return pa.table([pa.array(x) for x in merged], _PAIR)
+    pairs, each = ([_unpack(table["data"][int(i)].as_py(), widths) for i in np.flatnonzero(kinds == kind)] for kind, widths in ((1, _PAIRS), (0, _WINDOW)))
+    return pairs, [np.concatenate(x) for x in zip(*each, strict=True)]
+
+
+def _rows(parts: list) -> pa.Table:
+    parts = [[np.asarray(x, np.int64 if i in (0, 1, 8) else np.int32) for i, x in enumerate(p)] for p in parts or [((),) * 9]]
+    return pa.table([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], _PAIR)
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    return _met(table, _merge)
+    """Pairs of a bucket, and the windows of its large groups."""
+    out, windows = _met(table)
+    large = []
+    if windows:
+        pairs, group = _groups(*windows)
+        out.append([np.asarray(x, np.int64) for x in pairs])
+        large.append(group)
+    return _rows([_merge(tuple(np.concatenate(x) for x in zip(*out, strict=True))), *large] if out else [])
 
 
 def _each(pairs: tuple) -> list[np.ndarray]:
     """All pairs as they are, with the types of ``_merge``."""
-    return [np.asarray(x, np.int64 if i < 2 else np.int32) for i, x in enumerate(pairs)]
+    return [np.asarray(x, np.int64 if i in (0, 1, 8) else np.int32) for i, x in enumerate(pairs)]
 
 
 def _meet_each(table: pa.Table) -> pa.Table:
-    return _met(table, _each)
+    out, windows = _met(table)
+    return _rows([*out, _tie(*windows)[0]] if windows else out)
 
 
 def _exact(documents: DataFrame, buckets: int) -> DataFrame:
     """Exact passages from equal runs: those on one diagonal that overlap or touch are one."""
-    met = documents.mapInArrow(_deal(buckets, _uncovered, _each), "bucket int, kind int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet_each, _PAIR_TYPE)
+    met = documents.mapInArrow(_deal(buckets, _uncovered, _each, _tie), "bucket int, kind int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet_each, _PAIR_TYPE)
     by = Window.partitionBy("text", "other", "shift").orderBy("first")
     starts = met.select("text", "other", "shift", "first").distinct().withColumn("new", F.coalesce(F.col("first") > F.lag("first").over(by) + RUN, F.lit(True)).cast("int"))
     spans = starts.withColumn("span", F.sum("new").over(by)).groupBy("text", "other", "shift", "span").agg(F.min("first").alias("a"), F.max("first").alias("b"))
@@ -417,50 +494,163 @@ def _verified(pairs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def _candidates(met: DataFrame) -> DataFrame:
-    """Pairs by texts and diagonal. Two grids of diagonals: what lies half a grid apart is together in one of them."""
+    """Pairs by texts and diagonal. Two grids of diagonals: what lies half a grid apart is together in one of them.
+
+    ``here`` is a shared least shingle: its places in both texts. The windows of large groups stay as they are
+    (``large``): near and far are their place, low and high the reach.
+    """
     cell = lambda off: F.floor((F.col("shift") + off) / DIAGONALS).cast("int")
-    grids = F.when(F.col("text") == F.col("other"), F.array(F.struct(F.lit(2).alias("grid"), F.col("shift").alias("cell"))))
+    whole = F.array(F.struct(F.lit(3).alias("grid"), F.col("shift").alias("cell")))
+    grids = F.when(F.col("hashes") < 0, whole).when(F.col("text") == F.col("other"), F.array(F.struct(F.lit(2).alias("grid"), F.col("shift").alias("cell"))))
     grids = grids.otherwise(F.array(*[F.struct(F.lit(g).alias("grid"), cell(g * DIAGONALS // 2).alias("cell")) for g in (0, 1)]))
     met = met.withColumn("d", F.explode(grids))
-    exact = F.col("hashes").bitwiseAND(_EXACT) != 0
-    bounds = (F.min("low").alias("low"), F.max("high").alias("high"), F.min("shift").alias("near"), F.max("shift").alias("far"), F.bit_or("hashes").alias("hashes"))
-    pairs = met.groupBy("text", "other", "d.grid", "d.cell").agg(*bounds, F.min(F.when(exact, F.col("first"))).alias("first"), F.max(F.when(exact, F.col("last"))).alias("last"))
-    good = (F.col("hashes").bitwiseAND(_EXACT) != 0) | (F.bit_count("hashes") >= ENOUGH) | (F.col("grid") == 2)
-    pairs = pairs.where(good).drop("grid", "cell", "hashes").distinct()
-    return pairs.withColumn("low", F.greatest(F.lit(0), F.col("low") - SLACK)).withColumn("high", F.col("high") + SLACK)
-
-
-def _cells(low: str, high: str):
-    return F.explode(F.sequence(F.expr(f"cast(greatest(0, {low}) div {CELL} as int)"), F.expr(f"cast(greatest(0, {high}) div {CELL} as int)")))
-
-
-def _further(tried: DataFrame, found: DataFrame, last: bool) -> DataFrame:
-    """Pairs in place of those of ``tried`` that were not verified: with texts alike to the one tied to, or failing with it as well.
-
-    In the ``last`` round only for texts of which nothing in question was verified with any other.
-    """
-    good = found.where("not exact")
-    seen = good.select(F.col("text").alias("t"), F.col("other").alias("o"), F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
-    same = (F.col("text") == F.col("t")) & (F.col("s") <= F.col("high")) & (F.col("e") >= F.col("low"))
-    failed = tried.where("text <> other").join(seen, same if last else same & (F.col("other") == F.col("o")), "left_anti")
-    failed = failed.select("text", "other", "low", "high", "near", "far").withColumn("cell", _cells("low + near", "high + far"))
-    # places of helpers count in the text tied to: a helper's own place is there less its shift
-    alike = good.where("text <> other").select(F.col("other").alias("at"), F.col("text").alias("helper"), (F.col("other_start") - F.col("start")).cast("int").alias("shift"), (-F.col("jaccard")).alias("rank"), _cells("other_start", "other_start + other_n").alias("c"))
-    lost = failed.select(F.col("other").alias("at"), F.col("text").alias("helper"), F.col("near").alias("shift"), F.lit(1.0).alias("rank"), F.col("cell").alias("c"))
-    first = lambda rows: rows.groupBy("at", "c", "helper").agg(F.min(F.struct("rank", "shift")).alias("m")).select("at", "c", "helper", "m.rank", "m.shift")
-    helpers = _least(first(alike)).unionByName(_least(first(lost)))
-    pairs = failed.join(helpers, (F.col("other") == F.col("at")) & (F.col("cell") == F.col("c"))).where("helper <> text")
-    pairs = pairs.select("text", F.col("helper").alias("other"), "low", "high", (F.col("near") - F.col("shift")).alias("near"), (F.col("far") - F.col("shift")).alias("far"))
-    # not what was tried before
-    old = tried.select(F.col("text").alias("t"), F.col("other").alias("o")).distinct()
-    fresh = pairs.join(old, (F.col("text") == F.col("t")) & (F.col("other") == F.col("o")), "left_anti")
-    return fresh.groupBy("text", "other", F.floor(F.col("near") / DIAGONALS).alias("d")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("near").alias("near"), F.max("far").alias("far")).drop("d")
-
-
-def _least(rows: DataFrame) -> DataFrame:
-    """The first HELPERS rows by rank of each place."""
-    order = Window.partitionBy("at", "c").orderBy("rank", "helper")
-    return rows.withColumn("o", F.row_number().over(order)).where(F.col("o") <= HELPERS).select("at", "c", "helper", "shift")
+    exact = F.abs("hashes").bitwiseAND(_EXACT) != 0
+    bounds = (F.min("low").alias("low"), F.max("high").alias("high"), F.min("shift").alias("near"), F.max("shift").alias("far"), F.bit_or("hashes").alias("hashes"), F.max("via").alias("via"))
+    here = F.min(F.shiftleft(F.col("first").cast("long"), 32) + F.col("first") + F.col("shift")).alias("here")
+    pairs = met.groupBy("text", "other", "d.grid", "d.cell").agg(*bounds, here, F.min(F.when(exact, F.col("first"))).alias("first"), F.max(F.when(exact, F.col("last"))).alias("last"))
+    good = (F.col("hashes").bitwiseAND(_EXACT) != 0) | (F.bit_count("hashes") >= ENOUGH) | (F.col("grid") >= 2)
+    pairs = pairs.where(good).withColumn("large", F.col("grid") == 3).drop("grid", "cell", "hashes").distinct()
+    wide = lambda c, x: F.when(F.col("large"), F.col(c)).otherwise(x)
+    return pairs.withColumn("low", wide("low", F.greatest(F.lit(0), F.col("low") - SLACK))).withColumn("high", wide("high", F.col("high") + SLACK))
+
+
+def _open(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that are not tied by passages which both texts share, around the same shingle, with the one they are paired via."""
+    seen = found.where("not exact").select(F.col("text").alias("t"), F.col("other").alias("o"), F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
+    at = lambda text, place: (F.col(text) == F.col("t")) & (F.col("via") == F.col("o")) & (F.expr(place) >= F.col("s")) & (F.expr(place) < F.col("e"))
+    mine, theirs = at("text", "shiftright(here, 32)"), at("other", "here & 4294967295")
+    return pairs.join(seen, mine, "left_anti").unionByName(pairs.join(seen, mine, "left_semi").join(seen, theirs, "left_anti"))
+
+
+class _Group:
+    """Windows of one key: shingles around the least one, which stands in column REACH."""
+
+    def __init__(self, tid, left, stretches):
+        self.tid = tid
+        self.runs = np.zeros((len(tid), 3 * REACH + 1), np.uint32)
+        for i, x in enumerate(stretches):
+            begin = REACH - min(int(left[i]), REACH)
+            got = np.frombuffer(x, np.uint32)
+            self.runs[i, begin : begin + len(got)] = got
+        real = self.runs != 0
+        row = np.nonzero(real)[0]
+        values, flat = np.unique(self.runs[real], return_inverse=True)
+        #: Numbers of shingles, the last one of none.
+        self.ids = np.full(self.runs.shape, len(values), np.int32)
+        self.ids[real] = flat
+        self.has = np.zeros(len(values) + 1, bool)
+        held = np.unique(flat.astype(np.int64) * len(tid) + row)
+        shingle, self.owner = held // len(tid), (held % len(tid)).astype(np.int32)
+        self.ptr = np.searchsorted(shingle, np.arange(len(values) + 1))
+        #: Different shingles of any RUN ones at least; no row without RUN ones.
+        count = real.sum(axis=1)
+        self.least = np.where(count < RUN, 1 << 30, RUN)
+        again = np.flatnonzero((np.bincount(self.owner, minlength=len(tid)) < count) & (count >= RUN))
+        if len(again):
+            order = np.argsort(self.ids[again], axis=1, kind="stable")
+            ranked = np.take_along_axis(self.ids[again], order, axis=1)
+            before = np.full(order.shape, -1, np.int16)
+            np.put_along_axis(before, order[:, 1:], np.where(ranked[:, 1:] == ranked[:, :-1], order[:, :-1], -1).astype(np.int16), axis=1)
+            for a in range(order.shape[1] - RUN + 1):
+                whole = real[again, a] & real[again, a + RUN - 1]
+                self.least[again] = np.minimum(self.least[again], np.where(whole, (before[:, a : a + RUN] < a).sum(axis=1), RUN))
+        #: Members with so many shingles that others have as well that they may be alike to one.
+        self.some = 5 * np.bincount(self.owner, np.diff(self.ptr)[shingle] > 1, len(tid)) >= 4 * self.least
+
+    def near(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of ``among`` that may be alike to member ``i``: no other one shares shingles enough, in a stretch with few gaps."""
+        mine = np.unique(self.ids[i])
+        mine = mine[mine < len(self.ptr) - 1]
+        shared = np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(self.ptr[mine], self.ptr[mine + 1], strict=True)]), minlength=len(self.tid))
+        among = among[5 * shared[among] >= 4 * np.maximum(self.least[among], self.least[i])]
+        self.has[mine] = True
+        out = []
+        for a in range(0, len(among), 2000):
+            part = among[a : a + 2000]
+            same = self.has[self.ids[part]]
+            wide = same.shape[1] - same[:, ::-1].argmax(axis=1) - same.argmax(axis=1) >= RUN
+            part = part[wide]
+            out.append(part[self.dense(same[wide])] if len(part) else part)
+        self.has[mine] = False
+        return np.concatenate(out) if out else among
+
+    def dense(self, same: np.ndarray) -> np.ndarray:
+        """Rows with RUN places or more from one match to another in which there are enough matches for each gap."""
+        gain = np.zeros((len(same), same.shape[1] + 1), np.int16)
+        np.cumsum(np.where(same, np.int16(1), np.int16(-8)), axis=1, out=gain[:, 1:])
+        start = np.minimum.accumulate(np.where(same, gain[:, :-1], np.int16(32767)), axis=1)[:, : 1 - RUN]
+        return (same[:, RUN - 1 :] & (gain[:, RUN:] >= start)).any(axis=1)
+
+    def exact(self, i: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns from and up to which members are equal to ``i`` around the key."""
+        differ = (self.runs[among] != self.runs[i]) | (self.runs[i] == 0)
+        left, right = differ[:, REACH::-1], differ[:, REACH:]
+        reach = lambda x: np.where(x.any(axis=1), np.argmax(x, axis=1), x.shape[1])
+        return REACH + 1 - reach(left), REACH - 1 + reach(right)
+
+    def forest(self):
+        """(m, lead, stretches) of verified pairs that tie all members which verified pairs tie, directly or through others.
+
+        Of members that are not tied to each other one is outside the largest class, and each of those is held
+        against all members but those of its class.
+        """
+        n = len(self.tid)
+        root = np.arange(n)
+        size = np.ones(n, np.int64)
+        for i in np.flatnonzero(self.some):
+            if size.max() > 1 and root[i] == int(np.argmax(size)):
+                continue
+            among = np.flatnonzero(self.some & (root != root[i]) & (self.tid != self.tid[i]))
+            among = self.near(i, among) if len(among) else among
+            if not len(among):
+                continue
+            first, last = self.exact(i, among)
+            long = last - first + 1
+            for o in np.argsort(-long, kind="stable"):
+                k = int(among[o])
+                if root[k] == root[i]:
+                    continue
+                if long[o] >= RUN:
+                    span = int(first[o]), int(last[o])
+                    got = [(*span, *span, 1.0, exact) for exact in (False, True)]
+                else:
+                    got = [(*x, False) for x in alike(self.runs[k], self.runs[i], (0,))]
+                if got:
+                    yield k, i, got
+                    into, gone = (root[i], root[k]) if size[root[i]] >= size[root[k]] else (root[k], root[i])
+                    root[root == gone] = into
+                    size[into] += size[gone]
+                    size[gone] = 0
+
+
+_TIES = _FOUND + ", low int, high int, near int"
+
+
+def _solve(table: pa.Table) -> pa.Table:
+    """Verified pairs of a large group, with the stretches that their windows have in common."""
+    tid, at, left, right = (table[c].to_numpy().astype(np.int64) for c in ("text", "at", "left", "right"))
+    order = np.lexsort((at, tid))
+    stretches = table["mine"].to_pylist()
+    tid, at, left, right = tid[order], at[order], left[order], right[order]
+    group, out = _Group(tid, left, [stretches[i] for i in order]), []
+    for m, lead, got in group.forest():
+        _, _, shift, low, high, *_ = _tied(m, lead, tid, at, left, right, np.zeros(len(tid), np.int64))
+        for a, b, c, d, s, exact in got:
+            out.append((tid[m], at[m] + a - REACH, b - a + SHINGLE, tid[lead], at[lead] + c - REACH, d - c + SHINGLE, s, exact, low, high, shift))
+    cols = list(zip(*out, strict=True)) if out else [()] * 11
+    types = [pa.int64()] * 6 + [pa.float64(), pa.bool_()] + [pa.int32()] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _TIES.split(", ")])
+
+
+def _solved(large: DataFrame, runs: DataFrame, block: int) -> DataFrame:
+    """``large``: text, other (the key), near (the place), low, high and via (the reach). Each pair of a group's blocks is one task's."""
+    blocks = large.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = large.join(blocks, "other").withColumn("own", F.pmod(F.xxhash64("text", "near"), "blocks").cast("int"))
+    each = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    dealt = dealt.withColumn("with", F.explode(each)).select("text", "other", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), F.col("near").alias("at"), F.col("low").alias("left"), F.col("high").alias("right"), "via")
+    take = f"substring(runs, (at - least(left, {REACH})) * 4 + 1, (least(left, {REACH}) + via + 1) * 4)"
+    told = dealt.join(runs, F.col("text") == F.col("tid")).select("text", "other", "x", "y", "at", "left", "right", F.expr(take).alias("mine"))
+    return told.groupBy("other", "x", "y").applyInArrow(_solve, _TIES)
 
 
 def _spots(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -470,7 +660,7 @@ def _spots(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """
     tied = pairs.where("first is not null")
     starts = tied.select(F.col("text").alias("t"), (F.col("first") - RUN + 1).alias("low"), F.col("last").alias("high"))
-    starts = starts.unionByName(tied.select(F.col("other").alias("t"), (F.col("first") + F.col("near") - RUN + 1).alias("low"), (F.col("last") + F.col("far")).alias("high")))
+    starts = starts.unionByName(tied.where("not large").select(F.col("other").alias("t"), (F.col("first") + F.col("near") - RUN + 1).alias("low"), (F.col("last") + F.col("far")).alias("high")))
     starts = starts.groupBy("t", F.floor(F.col("low") / 64).alias("c")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     starts = starts.groupBy("t").agg(F.collect_list(F.struct("low", "high")).alias("spots"))
     covers = found.where("exact and other < text").select(F.col("text").alias("u"), F.col("start").alias("low"), (F.col("start") + F.col("n") - SHINGLE).alias("high"))
@@ -502,12 +692,12 @@ def repeated_passages(documents: DataFrame, sets_per_broadcast: int = 4_000_000)
     the other one named (or with an earlier place of its own), with a Jaccard similarity of their distinct
     5-word shingles of 0.8 or more. Rows with equal texts are members of one text: the least doc_id stands
     for it, and each other member has one row (of LEAST words or more) that repeats it whole. Only those that
-    stand for their texts have the rows of passages. Every verified pair of a text and the one it was tied to
+    stand for their texts have the rows of passages. Every verified pair of texts
     has a row; it is not told only where its passage lies within another one of the same text, partner and
     diagonal. A text that others are tied to has rows of its own for words that those do not cover.
     Words count from 0. An exact passage that texts share ties them all, directly or through others that hold
-    it too; a near-duplicate is found if it shares a context or two least shingles with the text its windows
-    are tied to and is like it, or like one of those that are like it. Null, empty and shorter texts have no passages; a null doc_id stays null, rows equal in id
+    it too, and so does a near-duplicate that shares a context or two least shingles with the other text, however
+    many texts share these. Null, empty and shorter texts have no passages; a null doc_id stays null, rows equal in id
     and text are told once each but the first. Other columns are not read. An empty table gives no rows.
     """
     spark = documents.sparkSession
@@ -522,9 +712,10 @@ def repeated_passages(documents: DataFrame, sets_per_broadcast: int = 4_000_000)
     words = ids.agg(F.sum("words")).first()[0] or 0
     buckets = max(12, ceil(words * 0.26 / BUCKET_WINDOWS))
     met = texts.mapInArrow(_deal(buckets), "bucket int, kind int, data binary").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, _PAIR_TYPE)
-    pairs = written(_candidates(met), "passages-pairs")
+    tied = written(_candidates(met), "passages-pairs")
+    direct, others, large = (tied.where(which) for which in ("not large and via = other", "not large and via <> other", "large"))
 
-    needed = pairs.select(F.col("text").alias("t")).unionByName(pairs.select(F.col("other").alias("t"))).distinct()
+    needed = tied.select(F.col("text").alias("t")).unionByName(tied.where("not large").select(F.col("other").alias("t"))).distinct()
     n = needed.count()
     wanted = None
     if n <= sets_per_broadcast:
@@ -534,16 +725,12 @@ def repeated_passages(documents: DataFrame, sets_per_broadcast: int = 4_000_000)
         runs = runs.join(needed, F.col("tid") == F.col("t"), "left_semi")
     runs = written(runs.groupBy("tid").agg(F.first("runs").alias("runs")), "passages-runs")
 
-    found, tried = written(_verified(pairs.drop("first", "last"), runs), "passages-found"), pairs.drop("first", "last")
-    for turn in range(ROUNDS):
-        tried = written(_further(tried, found, turn > 0), "passages-further")
-        ends = tried.select(F.col("text").alias("t")).unionByName(tried.select(F.col("other").alias("t"))).distinct()
-        n = ends.count()
-        if not n:
-            break
-        ends = F.broadcast(ends) if n <= sets_per_broadcast else ends
-        found = found.unionByName(written(_verified(tried, runs.join(ends, F.col("tid") == F.col("t"), "left_semi")), "passages-found"))
-    spots = _spots(pairs, found)
+    ties = written(_solved(large, runs, BLOCK), "passages-ties")
+    more = ties.groupBy("text", "other", F.floor(F.col("near") / DIAGONALS).alias("d")).agg(F.greatest(F.lit(0), F.min("low") - SLACK).alias("low"), (F.max("high") + SLACK).alias("high"), F.min("near").alias("near"), F.max("near").alias("far")).drop("d")
+    pair = ("text", "other", "low", "high", "near", "far")
+    found = written(_verified(direct.select(*pair).unionByName(more), runs), "passages-found").unionByName(ties.drop("low", "high", "near"))
+    found = found.unionByName(written(_verified(written(_open(others, found).select(*pair), "passages-open"), runs), "passages-found"))
+    spots = _spots(tied, found)
     rest = runs.join(spots, F.col("tid") == F.col("t")).select("tid", "runs", "spots", "covers")
     found = _told(found.where("not exact").drop("exact").unionByName(_exact(rest, buckets)))
 

@@ -265,6 +265,60 @@ def test_near_copies_of_one_passage_are_tied(spark):
     assert len(pairs) > 600 and lost / len(pairs) < 0.06
 
 
+@pytest.mark.parametrize("n, block", [(5, 10_000), (10, 10_000), (10, 15)])
+def test_near_copies_among_texts_that_share_snippets(spark, monkeypatch, n, block):
+    # two snippets of 28 words, each shared with many texts: nearly every least shingle leads to texts that are not alike
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(51)
+    snippets = [prose(rng, 28) for _ in range(n)]
+    texts, mate = [], {}
+    for a in snippets:
+        for b in snippets:
+            if a is not b:
+                mate[len(texts)] = len(texts) + 1
+                gap = prose(rng, 4).split()
+                for x in (gap, [gap[0], "other", *gap[2:]]):
+                    texts.append(" ".join([prose(rng, 40), a, *x, b, prose(rng, 40)]))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = {tuple(sorted((r["doc_id"], r["first_doc_id"]))) for r in passages.repeated_passages(frame(spark, rows).repartition(4)).collect()}
+    assert got <= set(mate.items()) and len(got) >= 0.95 * len(mate)
+
+
+def test_forest_of_a_large_group_against_all_pairs():
+    rng = np.random.default_rng(52)
+    width = 2 * passages.REACH + 1
+    for size in (60, 90):
+        base, rows = rng.integers(1, 1 << 32, width, dtype=np.uint32), []
+        line = base.copy()
+        for i in range(size):  # a chain of near copies, the frequent middle alone, and a few words repeated
+            line = line.copy() if i % 20 else base.copy()
+            line[rng.integers(0, width, 3)] = rng.integers(1, 1 << 32, 3, dtype=np.uint32)
+            row = rng.integers(1, 1 << 32, width, dtype=np.uint32)
+            a, b = rng.integers(10, 60, 2)
+            kind = i % 4
+            if kind < 2:
+                row[passages.REACH - a : passages.REACH + b] = line[passages.REACH - a : passages.REACH + b]
+            elif kind == 2:
+                row[passages.REACH - 18 : passages.REACH + 18] = base[passages.REACH - 18 : passages.REACH + 18]
+            else:
+                row[passages.REACH - 18 :] = np.resize(base[passages.REACH : passages.REACH + 6], passages.REACH + 19)
+            rows.append(row)
+        reach = np.full(size, passages.REACH)
+        got = passages._Group(np.arange(size), reach, [r.tobytes() for r in rows])
+        ties = [(m, lead) for m, lead, found in got.forest() if found]
+        want = [(i, k) for i in range(size) for k in range(i) if any(True for _ in passages.alike(rows[i], rows[k], (0,)))]
+
+        def classes(pairs):
+            root = list(range(size))
+            for x, y in pairs:
+                x, y = root[x], root[y]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+            return root
+
+        assert classes(ties) == classes(want) and len(ties) < len(want) and 1 < len(set(classes(want))) < size
+
+
 def test_longest_stretch_against_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(200):
