@@ -384,10 +384,11 @@ def alike(mine: np.ndarray, theirs: np.ndarray, shifts: tuple[int, ...] = (), an
     """
     done = np.zeros(len(mine), bool)
     for shift in shifts:
-        place = np.arange(len(mine)) + shift
-        ok = (place >= 0) & (place < len(theirs)) & (mine != 0)
-        same = ok & ~done
-        same[ok] &= theirs[place[ok]] == mine[ok]
+        place = np.arange(shift, len(mine) + shift)
+        a = max(0, -shift)
+        b = max(a, min(len(mine), len(theirs) - shift))
+        same = np.zeros(len(mine), bool)
+        same[a:b] = (theirs[a + shift : b + shift] == mine[a:b]) & (mine[a:b] != 0) & ~done[a:b]
         for got in _stretches(mine, theirs, place, same, num, den):
             done[got[0] : got[1] + 1] = True
             yield got
@@ -446,16 +447,26 @@ def _stretches(mine, theirs, place, same, num: int, den: int):
 
 def _similar(mine, theirs, place, same, start: int, end: int) -> tuple[int, int, int, int] | None:
     """(first in theirs, shared shingles, all shingles, last in theirs) of a stretch and what it repeats."""
-    inside = same[start : end + 1]
-    hit = place[start : end + 1][inside]
-    shift = np.median(hit - np.arange(start, end + 1)[inside])
+    inside = np.flatnonzero(same[start : end + 1]) + start
+    hit = place[inside]
+    if not len(hit):
+        return None
+    shifts = np.sort(hit - inside)
+    shift = (shifts[(len(shifts) - 1) // 2] + shifts[len(shifts) // 2]) / 2  # the median
     hit = hit[(hit >= start + shift - SLACK) & (hit <= end + shift + SLACK)]
     if not len(hit) or hit.max() - hit.min() < RUN - 1:
         return None
-    a, b = np.unique(mine[start : end + 1]), np.unique(theirs[hit.min() : hit.max() + 1])
-    a, b = a[a > 0], b[b > 0]
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return int(hit.min()), both, len(a) + len(b) - both, int(hit.max())
+    low, high = int(hit.min()), int(hit.max())
+    a, b = _distinct(mine[start : end + 1]), _distinct(theirs[low : high + 1])
+    each = np.sort(np.concatenate((a, b)))
+    both = int(np.count_nonzero(each[1:] == each[:-1]))
+    return low, both, len(a) + len(b) - both, high
+
+
+def _distinct(shingles: np.ndarray) -> np.ndarray:
+    """As ``np.unique`` without 0, which is slow on few values."""
+    s = np.sort(shingles)
+    return s[np.concatenate((s[:1] > 0, s[1:] != s[:-1]))] if len(s) else s
 
 
 _FOUND = "text long, start long, n long, other long, other_start long, other_n long, jaccard double, exact boolean"
@@ -539,7 +550,8 @@ class _Group:
         self.ids = np.full(self.runs.shape, len(values), np.int32)
         self.ids[real] = flat
         self.has = np.zeros(len(values) + 1, bool)
-        held = np.unique(flat.astype(np.int64) * len(tid) + row)
+        held = np.sort(flat.astype(np.int64) * len(tid) + row)
+        held = held[np.concatenate((np.ones(min(1, len(held)), bool), held[1:] != held[:-1]))]
         shingle, self.owner = held // len(tid), (held % len(tid)).astype(np.int32)
         self.ptr = np.searchsorted(shingle, np.arange(len(values) + 1))
         #: Different shingles of any RUN ones at least; no row without RUN ones.
@@ -558,26 +570,47 @@ class _Group:
         self.some = 5 * np.bincount(self.owner, np.diff(self.ptr)[shingle] > 1, len(tid)) >= 4 * self.least
 
     def near(self, i: int, among: np.ndarray) -> np.ndarray:
-        """Those of ``among`` that may be alike to member ``i``: no other one shares shingles enough, in a stretch with few gaps."""
-        mine = np.unique(self.ids[i])
-        mine = mine[mine < len(self.ptr) - 1]
-        shared = np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(self.ptr[mine], self.ptr[mine + 1], strict=True)]), minlength=len(self.tid))
+        """Those of ``among`` that may be alike to member ``i``: no other one shares shingles enough, in a stretch with few
+        gaps, and repeats by them a stretch of ``i`` with few gaps."""
+        values, first, column = np.unique(self.ids[i], return_index=True, return_inverse=True)
+        real = values[: np.searchsorted(values, len(self.ptr) - 1)]
+        begin, end = self.ptr[real], self.ptr[real + 1]
+        several = np.flatnonzero(end - begin > 1)
+        if not len(several):
+            return among[:0]
+        owner = np.concatenate([self.owner[a:b] for a, b in zip(begin[several].tolist(), end[several].tolist(), strict=True)])
+        shared = np.bincount(owner, minlength=len(self.tid))
         among = among[5 * shared[among] >= 4 * np.maximum(self.least[among], self.least[i])]
+        if not len(among):
+            return among
+        mine, shingle = values[several], np.repeat(several, (end - begin)[several])
+        # a shingle of ``i`` that the other one does not have counts once, where it comes first.
+        lost = np.zeros(self.ids.shape[1], np.int16)
+        lost[first[: len(real)]] = -4
         self.has[mine] = True
+        row = np.full(len(self.tid), -1, np.int32)
         out = []
         for a in range(0, len(among), 2000):
             part = among[a : a + 2000]
             same = self.has[self.ids[part]]
             wide = same.shape[1] - same[:, ::-1].argmax(axis=1) - same.argmax(axis=1) >= RUN
             part = part[wide]
-            out.append(part[self.dense(same[wide])] if len(part) else part)
+            part = part[self.dense(same[wide], np.int16(-8))] if len(part) else part
+            if len(part):
+                row[part] = np.arange(len(part))
+                met = np.zeros((len(part), len(values)), bool)
+                ours = row[owner] >= 0
+                met[row[owner[ours]], shingle[ours]] = True
+                row[part] = -1
+                part = part[self.dense(met[:, column], lost)]
+            out.append(part)
         self.has[mine] = False
-        return np.concatenate(out) if out else among
+        return np.concatenate(out)
 
-    def dense(self, same: np.ndarray) -> np.ndarray:
-        """Rows with RUN places or more from one match to another in which there are enough matches for each gap."""
+    def dense(self, same: np.ndarray, lost: np.ndarray) -> np.ndarray:
+        """Rows with RUN places or more from one match to another in which the matches make up for what gaps lose."""
         gain = np.zeros((len(same), same.shape[1] + 1), np.int16)
-        np.cumsum(np.where(same, np.int16(1), np.int16(-8)), axis=1, out=gain[:, 1:])
+        np.cumsum(np.where(same, np.int16(1), lost), axis=1, out=gain[:, 1:])
         start = np.minimum.accumulate(np.where(same, gain[:, :-1], np.int16(32767)), axis=1)[:, : 1 - RUN]
         return (same[:, RUN - 1 :] & (gain[:, RUN:] >= start)).any(axis=1)
 

@@ -319,6 +319,37 @@ def test_forest_of_a_large_group_against_all_pairs():
         assert classes(ties) == classes(want) and len(ties) < len(want) and 1 < len(set(classes(want))) < size
 
 
+def test_members_that_repeat_a_short_snippet_are_told_apart_by_counting(monkeypatch):
+    rng = np.random.default_rng(8)
+    width, size = 2 * passages.REACH + 1, 60
+    snippet, rows = rng.integers(1, 1 << 32, 40, dtype=np.uint32), []
+    for i in range(size):  # once, or time and again, and in a few of both a longer passage
+        row = rng.integers(1, 1 << 32, width, dtype=np.uint32)
+        if i % 2:
+            row[:] = np.roll(np.resize(snippet, width), passages.REACH - 20)
+            row[rng.integers(0, width, 4)] = rng.integers(1, 1 << 32, 4, dtype=np.uint32)
+        row[passages.REACH - 20 : passages.REACH + 20] = snippet
+        if i % 6 < 2:
+            row[passages.REACH + 20 : passages.REACH + 35] = snippet[:15] + np.uint32(1)
+        rows.append(row)
+    alike = passages.alike
+    want = {(i, k) for i in range(size) for k in range(size) if i != k and any(True for _ in alike(rows[i], rows[k], (0,)))}
+    asked = []
+
+    def counted(mine, theirs, shifts):
+        found = list(alike(mine, theirs, shifts))
+        asked.append(bool(found))
+        return found
+
+    monkeypatch.setattr(passages, "alike", counted)
+    group = passages._Group(np.arange(size), np.full(size, passages.REACH), [r.tobytes() for r in rows])
+    ties = [(m, lead) for m, lead, found in group.forest() if found]
+    assert ties and set(ties) <= want
+    near = {(int(k), i) for i in range(size) for k in group.near(i, np.delete(np.arange(size), i))}
+    assert want <= near
+    assert asked.count(False) < size
+
+
 def test_longest_stretch_against_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(200):
