@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -47,6 +49,58 @@ def test_encoder_is_checked_against_the_tokenizer(monkeypatch):
         broken(["one whole text, split in other places", "x"])
 
 
+_PIECES = st.one_of(st.characters(max_codepoint=255), st.sampled_from([" ", "  ", "'", "'s", "'re", "'l", "ll", "\n", "\xa0", "a", "1", "!"]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(_PIECES, max_size=30).map("".join), min_size=1, max_size=4))
+def test_words_begin_where_the_rule_says(texts):
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    raw = np.frombuffer("".join(f"{t}\0" for t in texts).encode("latin-1"), np.uint8)
+    want = [e - len(t) + m for t, e in zip(texts, ends.tolist(), strict=True) for m in [*(x.start() for x in R._SPLIT.finditer(t)), len(t)]]
+    assert R.word_starts(raw, ends).tolist() == want
+
+
+def _vocabulary(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefghinorst", k=rng.randint(3, 11))) for _ in range(n)]
+
+
+def test_known_words_cost_a_small_part_of_the_tokenizers_time():
+    words, rng = _vocabulary(20_000, 1), random.Random(2)
+    texts = [" ".join(rng.choices(words, k=500)) + "." for _ in range(400)]
+    e = R.Encoder(byte_bpe())
+    e(texts)
+    least = {}
+    for _ in range(3):
+        for name, f in (("own", e), ("library", e.whole)):
+            t = time.process_time()
+            f(texts)
+            least[name] = min(least.get(name, 1e9), time.process_time() - t)
+    assert least["own"] < 0.09 * least["library"]
+
+
+def test_remembered_words_take_little_memory():
+    texts = [" ".join(_vocabulary(1000, i)) for i in range(100)]
+    e = R.Encoder(byte_bpe())
+    tracemalloc.start()
+    for i in range(0, len(texts), 10):
+        e(texts[i : i + 10])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 100 * len({w for t in texts for w in t.split()})
+
+
+def test_long_words_and_a_small_memory(monkeypatch):
+    monkeypatch.setattr(R, "WORDS", 50)
+    e = R.Encoder(byte_bpe())
+    texts = [f"{'long' * n} {'x' * 14}{n % 3} {'x' * 15}{n % 3}\n{'=' * 20} ordinary {n}" for n in range(60)]
+    for _ in range(3):
+        for i in range(0, 60, 7):
+            assert e(texts[i : i + 7]) == e.whole(texts[i : i + 7])
+    assert e.words < 150
+
+
 def test_stores_of_other_names():
     assert R.arrow_uri("s3a://bucket/s3a://x") == "s3://bucket/s3a://x" and R.arrow_uri("file:/a") == "file:/a" and R.filesystem("file:///a/b")[1] == "/a/b"
 
