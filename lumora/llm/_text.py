@@ -43,7 +43,7 @@ def _power_table(ratio: int, n: int) -> np.ndarray:
     have = _powers.get(ratio)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            table = np.full(max(n, SLICE_BYTES * 2), ratio, dtype=np.uint64)
+            table = np.full(max(n + n // 4, SLICE_BYTES + 1), ratio, dtype=np.uint64)
             table[0] = 1
             have = _powers[ratio] = np.multiply.accumulate(table)
     return have[:n]

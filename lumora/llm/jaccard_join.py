@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.llm import _text as T
-from lumora.llm._shared import columns, written
+from lumora.llm._shared import columns, trim, trimmed, written
 from lumora.llm.components import connected
 
 U64 = np.uint64
@@ -105,7 +105,7 @@ def _counts_ahead(k: int):
                 sets, digests = T.shingle_sets(T.words(column.slice(a, b - a)), k)
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(_setid(digests), mask=n == 0)], ["doc_id", "n", "setid"])
-    return run
+    return trimmed(run)
 
 
 def _frequent(k: int):
@@ -118,7 +118,7 @@ def _frequent(k: int):
             count = np.diff(np.append(at, len(keys)))
             often = count >= max(32, len(vids) // 200)
             yield pa.RecordBatch.from_arrays([pa.array(keys[at[often]].view(np.int64)), pa.array(count[often].astype(np.int64))], ["key", "sets"])
-    return run
+    return trimmed(run)
 
 
 def _planes(keys: np.ndarray, width: int) -> bytes:
@@ -159,11 +159,12 @@ def _blocks(k: int, buckets: int, hot):
             for i in range(0, len(rows), 64):
                 part = list(zip(*rows[i : i + 64], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int32()), pa.array(part[3], pa.binary()), pa.array(part[4], pa.binary())], ["bucket", "portion", "kind", "keys", "refs"])
-    return run
+    return trimmed(run)
 
 
 def _count_bucket(table: pa.Table) -> pa.Table:
     """For each portion of a bucket the keys that two sets hold, with the number of sets; single keys end here."""
+    trim()
     portions, kinds = table["portion"].to_numpy(), table["kind"].to_numpy()
     data, refs = table["keys"], table["refs"]
     out: list[tuple] = [(int(portions[i]), 1, data[i].as_py(), b"", b"") for i in np.flatnonzero(kinds == 1)]
@@ -196,6 +197,7 @@ _COUNTED = "portion long, kind int, keys binary, refs binary, counts binary"
 def _prefixes(num: int, den: int, hot):
     """Prefix postings of one portion: key and set."""
     def run(table: pa.Table) -> pa.Table:
+        trim()
         kinds = table["kind"].to_numpy()
         head = np.frombuffer(table["keys"][int(np.flatnonzero(kinds == 1)[0])].as_py(), np.uint8)
         s, h = head[:16].view(np.int64)
@@ -333,11 +335,12 @@ def _sets_of(k: int, wanted):
                 rows = [i for i in np.flatnonzero(keep) if int(digests[i]) not in have and not have.add(int(digests[i]))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(digests[rows]), pa.array([sets[i].tobytes() for i in rows], pa.binary())], ["setid", "shingles"])
-    return run
+    return trimmed(run)
 
 
 def _solve_classes(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
+        trim()
         root, setid, first, copies = (table[c].to_numpy() for c in ("root", "setid", "first", "copies"))
         order = np.argsort(root, kind="stable")
         cut = np.flatnonzero(np.concatenate(([True], np.diff(root[order]) != 0, [True]))) if len(order) else [0]
@@ -372,6 +375,7 @@ def _roots(x: np.ndarray, y: np.ndarray, value: np.ndarray) -> np.ndarray:
 def _solve_blocks(num: int, den: int):
     """Links between two blocks of a large class, or within one."""
     def run(table: pa.Table) -> pa.Table:
+        trim()
         setid, copies, block, i, j = (table[c].to_numpy() for c in ("setid", "copies", "block", "i", "j"))
         x, y = linked_sets([np.frombuffer(v.as_py(), np.uint64) for v in table["shingles"]], num, den)
         if len(i) and i[0] != j[0]:

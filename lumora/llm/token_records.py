@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm._shared import columns, table_path
+from lumora.llm._shared import columns, table_path, trimmed
 from lumora.llm._text import plain, slices
 
 MAGIC = b"LUMIDX01"
@@ -376,7 +376,7 @@ def _write(folder: str, tokenizer_file: str, end_id: int):
         with fs.open_output_stream(f"{name}.index") as x:
             x.write(MAGIC + np.array(index, "<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name.rpartition("/")[2]], "records": [records], "tokens": [tokens]})
-    return run
+    return trimmed(run)
 
 
 def read_records(fs: pafs.FileSystem, name: str, window: int = 8 << 20) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -441,7 +441,7 @@ def _digest(folder: str):
                         rows = []
                 if rows:
                     yield _batch(rows)
-    return run
+    return trimmed(run)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

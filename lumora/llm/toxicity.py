@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm import _text as T
-from lumora.llm._shared import columns, small_batches
+from lumora.llm._shared import columns, small_batches, trimmed
 from lumora.llm._text import plain
 
 #: Look-alike letters of other scripts, and digits and signs that stand for letters.
@@ -210,13 +210,13 @@ def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
         marked = marked.where(seed("d") < int(train_rows / n * (1 << 30)))
     texts = columns(documents, "doc_id", "text").where("text is not null")
     # about train_rows ids go to every task; texts travel only once their number is bounded, too
-    rows = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("d")).select("text", "toxic").mapInArrow(_sketches, "text string, toxic int, one long, two long")
+    rows = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("d")).select("text", "toxic").mapInArrow(trimmed(_sketches), "text string, toxic int, one long, two long")
     n = rows.agg(F.count_distinct("one")).first()[0]
     if n > train_rows:
         rows = rows.where(seed("one") < int(train_rows / n * (1 << 30)))
     first = F.min_by("text", F.xxhash64("text")).alias("text")
     rows = rows.groupBy("one", "toxic").agg(first, F.min("two").alias("two")).groupBy("two", "toxic").agg(first).select("text", "toxic").persist()
-    counts = rows.mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
+    counts = rows.mapInArrow(trimmed(_count_terms), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).persist()
     clean, toxic = next(((r["clean"], r["toxic"]) for r in counts.where("term = ''").collect()), (0, 0))
     lexicon = Lexicon({f" {w} ": v for w, v in DEFAULT_TERMS.items()}, exceptions)
     if not clean or not toxic:
@@ -231,7 +231,7 @@ def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
             x = np.array([lexicon.features(t) for t in plain(batch.column(0)).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], ["a", "b", "c", "toxic"])
 
-    table = rows.mapInArrow(measure, "a double, b double, c double, toxic int").toPandas()
+    table = rows.mapInArrow(trimmed(measure), "a double, b double, c double, toxic int").toPandas()
     rows.unpersist()
     lexicon.bias, lexicon.slopes = _fit(table[["a", "b", "c"]].to_numpy(), table["toxic"].to_numpy().astype(float))
     return lexicon
@@ -256,7 +256,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     lexicon = learn(documents, labels)
     rows = columns(documents, "doc_id", "text")
-    scored = rows.mapInArrow(_scores(lexicon, 1), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, score double")
+    scored = rows.mapInArrow(trimmed(_scores(lexicon, 1)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -274,4 +274,4 @@ def without_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.5) -
             x = np.array([lexicon.features(t) for t in plain(batch.column(at)).to_pylist()]).reshape(-1, 3)
             yield batch.filter(pa.array(lexicon.score(x) < limit))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)

@@ -3,11 +3,14 @@ import os
 import random
 
 import duckdb
+import numpy as np
+import psutil
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from lumora.llm import _shared
 from lumora.llm import _text as T
 from lumora.llm.decontaminate import WINDOW
 from lumora.llm.registry import oracle_sql, queries
@@ -118,3 +121,26 @@ def test_stages_take_odd_tables(spark, tmp_path):
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
     assert T.SLICE_BYTES > 0
+
+
+def test_a_finished_task_gives_its_memory_back(monkeypatch):
+    def task(batches):
+        for _ in batches:
+            held = [np.ones(8000) for _ in range(3000)]  # 192 MB in pieces of the heap
+            pinned.extend(held[::100])
+            yield len(held)
+
+    pinned, size = [], lambda: psutil.Process().memory_info().rss
+    monkeypatch.setattr(_shared, "_trimmed", [0.0])
+    before = size()
+    assert list(_shared.trimmed(task)([0])) == [3000]
+    assert size() - before < 64e6
+
+
+def test_tables_for_hashing_fit_a_slice(monkeypatch):
+    monkeypatch.setattr(T, "_powers", {})
+    column = T.plain(pa.array(["some words of a short text"] * 20))
+    T.words(column)
+    assert sum(x.nbytes for x in T._powers.values()) < 17 * T.SLICE_BYTES
+    long = T.plain(pa.array(["a " * 700_000 + "b"]))
+    assert len(T.words(long).hashes) == 700_001 and len(set(T.words(long).hashes.tolist())) == 2
