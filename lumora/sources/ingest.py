@@ -124,37 +124,52 @@ def log_rows(raw: bytes, content_type: str | None = None) -> list[tuple[dict[str
     return rows
 
 
-def _checked(bodies: DataFrame, column: str, most: int) -> DataFrame:
-    """Column _body: the parsed body as VARIANT, or null if it is not one JSON value in UTF-8 of bounded size."""
-    bodies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last one counts
-    text = F.col(column)
-    sound = (F.octet_length(text) <= most) & F.is_valid_utf8(text) & ~F.regexp_replace(text, _PAIRED, "$1").rlike(_LONE)
-    mark = F.sha2(text, 256)
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
-    whole = F.try_variant_get(both, "$[1]", "string").eqNullSafe(mark)
-    return bodies.withColumn("_body", F.when(sound & whole, F.try_variant_get(both, "$[0]", "variant")))
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once; a column is computed anew wherever it stands."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _checked(text: Column, most: int) -> Column:
+    """The parsed body as VARIANT, or null if it is not one JSON value in UTF-8 of bounded size."""
+    paired = ~text.contains("\\u") | ~F.regexp_replace(text, _PAIRED, "$1").rlike(_LONE)
+    sound = (F.octet_length(text) <= most) & F.is_valid_utf8(text) & paired
+    both = lambda mark: F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    whole = lambda mark: lambda x: F.when(F.try_variant_get(x, "$[1]", "string").eqNullSafe(mark), F.try_variant_get(x, "$[0]", "variant"))
+    return F.when(sound, _once(F.sha2(text, 256), lambda mark: _once(both(mark), whole(mark))))
+
 
+def _objects(text: Column, most: int, name: str) -> Column:
+    """List ``name`` of a body: a map for each object in it, null for any other value."""
+    return F.try_variant_get(_checked(text, most), f"$.{name}", "array<map<string, variant>>")
 
-def _type(x: str) -> str:
-    """JSON type of a variant: null where there is no value at all."""
-    return f"schema_of_variant({x})"
 
+def _parts(m: Column, *names: str) -> list[Column]:
+    return [F.try_element_at(m, F.lit(n)).alias(n) for n in names]
 
-def _strings(x: str) -> str:
-    """Whether a variant is an object of strings."""
-    return f"({_type(x)} like 'OBJECT%' and forall(map_values(try_cast({x} as map<string, variant>)), v -> {_type('v')} = 'STRING'))"
 
+def _type(x: Column) -> Column:
+    """JSON type of a variant: null where there is no value at all. For a list or object all that is in it is read."""
+    return F.schema_of_variant(x)
 
-def _list(x: str) -> str:
-    """Whether a variant is a list, null or absent."""
-    return f"({x} is null or {_type(x)} = 'VOID' or {_type(x)} like 'ARRAY%')"
 
+def _absent(x: Column) -> Column:
+    return x.isNull() | (_type(x) == "VOID")
 
-def _text_map(x: str) -> str:
-    return f"transform_values(try_cast({x} as map<string, variant>), (k, v) -> cast(v as string))"
 
+def _text(x: Column) -> Column:
+    """The string that a variant is, else null."""
+    return F.when(_type(x) == "STRING", x.try_cast("string"))
 
-_NO_LABELS = "cast(map() as map<string, string>)"
+
+def _text_map(x: Column) -> Column:
+    """The map that an object of strings is, else null."""
+    texts = lambda m: F.when(F.forall(F.map_values(m), lambda v: _type(v) == "STRING"), F.transform_values(m, lambda _, v: v.try_cast("string")))
+    return _once(x.try_cast("map<string, variant>"), texts)
+
+
+def _if_all(rows: Column, good) -> Column:
+    """A list of one or more that are all good, else null."""
+    return _once(rows, lambda x: F.when((F.size(x) > 0) & F.forall(x, lambda r: F.coalesce(good(r), F.lit(False))), x))
 
 
 def metric_frame(bodies: DataFrame, column: str = "value", gen: Column | None = None) -> DataFrame:
@@ -162,38 +177,36 @@ def metric_frame(bodies: DataFrame, column: str = "value", gen: Column | None =
 
     Without ``gen`` all bodies count as written at once, each in its own order.
     """
-    found = _checked(bodies.select(F.col(column).alias("_text"), (gen if gen is not None else F.lit(0).cast("long")).alias("_gen")), "_text", METRIC_BODY)
-    found = found.select("_gen", F.expr("try_variant_get(_body, '$.metrics', 'array<variant>')").alias("_list"))
-    part = lambda name: f"try_variant_get(e, '$.{name}', 'variant')"
-    number = f"({_type(part('value'))} in ('BIGINT', 'DOUBLE', 'FLOAT') or {_type(part('value'))} like 'DECIMAL%')"
-    labels = f"case when {part('labels')} is null or {_type(part('labels'))} = 'VOID' then {_NO_LABELS} when {_strings(part('labels'))} then {_text_map(part('labels'))} end"
-    name = f"case when {part('name')} is null or {_type(part('name'))} = 'VOID' then '' when {_type(part('name'))} = 'STRING' then try_variant_get(e, '$.name', 'string') end"
-    entry = f"""transform(_list, (e, i) -> named_struct(
-        'labels', map_concat(map_filter({labels}, (k, v) -> k <> '__name__'), map('__name__', {name})), 'sound', {_type('e')} like 'OBJECT%',
-        'ts_ms', case when {_type(part('timestamp_ms'))} = 'BIGINT' then try_variant_get(e, '$.timestamp_ms', 'bigint') end,
-        'value', case when {number} then try_variant_get(e, '$.value', 'double') end, 'place', cast(i as bigint)))"""
-    found = found.withColumn("_rows", F.expr(entry))
+    bodies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last one counts
+    found = bodies.select(F.col(column).alias("_text"), (gen if gen is not None else F.lit(0).cast("long")).alias("_gen"))
+    parts = lambda m, i: F.struct(m.isNotNull().alias("sound"), *_parts(m, "name", "labels", "timestamp_ms", "value"), i.cast("long").alias("place"))
+    none = F.create_map().cast("map<string, string>")
+    named = lambda given, name: F.map_concat(F.map_filter(given, lambda k, _: k != "__name__"), F.create_map(F.lit("__name__"), F.when(_absent(name), "").otherwise(_text(name))))
+    labels = lambda p: _once(F.coalesce(_text_map(p["labels"]), F.when(_absent(p["labels"]), none)), lambda given: named(given, p["name"]))
+    number = lambda v: _once(_type(v), lambda t: F.when(t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL"), v.try_cast("double")))
+    time = lambda t: F.when(_type(t) == "BIGINT", t.try_cast("long"))
+    row = lambda p: F.struct(p["sound"].alias("sound"), labels(p).alias("labels"), time(p["timestamp_ms"]).alias("ts_ms"), number(p["value"]).alias("value"), p["place"].alias("place"))
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    good = (F.size("_rows") > 0) & F.forall("_rows", lambda r: F.coalesce(r["sound"] & valid_labels(r["labels"], True) & r["ts_ms"].isNotNull() & finite(r["value"]), F.lit(False)))
-    rows = found.where(F.coalesce(good, F.lit(False))).select("_gen", F.explode("_rows").alias("r"))
+    good = lambda r: r["sound"] & valid_labels(r["labels"], True) & r["ts_ms"].isNotNull() & finite(r["value"])
+    rows = _if_all(F.transform(F.transform(_objects(F.col("_text"), METRIC_BODY, "metrics"), parts), row), good)
+    # an inner explode would bring filters that compute all of it again
+    rows = found.select("_gen", F.explode_outer(rows).alias("r")).where("r is not null")
     return rows.select("r.labels", labels_key(F.col("r.labels")).alias("labels_key"), "r.ts_ms", "r.value", (F.col("_gen") * F.lit(PLACES) + F.col("r.place")).alias("gen"))
 
 
 def log_frame(bodies: DataFrame, column: str = "value", seq: Column | None = None) -> DataFrame:
     """labels, labels_key, ts_ns, line, seq of valid bodies. ``seq`` orders bodies as ``gen`` does those of metrics."""
-    found = _checked(bodies.select(F.col(column).alias("_text"), (seq if seq is not None else F.lit(0).cast("long")).alias("_seq")), "_text", LOG_BODY)
-    found = found.select("_seq", F.expr("try_variant_get(_body, '$.streams', 'array<variant>')").alias("_list"))
-    part = lambda name: f"try_variant_get(s, '$.{name}', 'variant')"
-    pair = f"({_type('e')} like 'ARRAY%' and size(try_cast(e as array<variant>)) = 2 and forall(try_cast(e as array<variant>), v -> {_type('v')} = 'STRING'))"
-    entry = f"case when {pair} then named_struct('ts', try_variant_get(e, '$[0]', 'string'), 'line', try_variant_get(e, '$[1]', 'string')) end"
-    values = f"transform(coalesce(try_variant_get(s, '$.values', 'array<variant>'), cast(array() as array<variant>)), e -> {entry})"
-    made = f"transform(_list, s -> named_struct('sound', {_type('s')} like 'OBJECT%' and {_list(part('values'))}, 'labels', case when {_strings(part('stream'))} then {_text_map(part('stream'))} end, 'values', {values}))"
-    found = found.withColumn("_streams", F.expr(made))
+    bodies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    found = bodies.select(F.col(column).alias("_text"), (seq if seq is not None else F.lit(0).cast("long")).alias("_seq"))
     # times have a plus sign and leading zeros, if they like, and are positive 64-bit numbers
-    time = lambda e: F.regexp_replace(e["ts"], "^[+]?0*", "").try_cast("long")
-    entry_ok = lambda e: F.coalesce(e["ts"].rlike(r"^[+]?0*[1-9][0-9]{0,18}\z") & time(e).isNotNull() & (F.octet_length(e["line"]) <= LINE_BYTES), F.lit(False))
-    good = (F.size("_streams") > 0) & F.forall("_streams", lambda s: F.coalesce(s["sound"] & valid_labels(s["labels"], False) & F.forall(s["values"], entry_ok), F.lit(False)))
-    rows = found.where(F.coalesce(good, F.lit(False)))
-    flat = F.flatten(F.transform("_streams", lambda s: F.transform(s["values"], lambda e: F.struct(s["labels"].alias("labels"), time(e).alias("ts_ns"), e["line"].alias("line")))))
-    rows = rows.select("_seq", F.posexplode(flat).alias("place", "r"))
+    time = lambda t: F.when(t.rlike(r"^[+]?0*[1-9][0-9]{0,18}\z"), F.regexp_replace(t, "^[+]?0*", "").try_cast("long"))
+    pair = lambda e: F.when((F.size(e) == 2) & F.forall(e, lambda v: _type(v) == "STRING"), F.struct(_once(F.get(e, F.lit(0)).try_cast("string"), time).alias("ts_ns"), F.get(e, F.lit(1)).try_cast("string").alias("line")))
+    entries = lambda v: F.coalesce(v.try_cast("array<array<variant>>"), F.when(_absent(v), F.array().cast("array<array<variant>>")))
+    parts = lambda m: F.struct(m.isNotNull().alias("sound"), *_parts(m, "stream", "values"))
+    stream = lambda p: F.struct(p["sound"].alias("sound"), _text_map(p["stream"]).alias("labels"), F.transform(entries(p["values"]), pair).alias("values"))
+    entry_ok = lambda e: F.coalesce(e["ts_ns"].isNotNull() & (F.octet_length(e["line"]) <= LINE_BYTES), F.lit(False))
+    good = lambda s: s["sound"] & s["values"].isNotNull() & valid_labels(s["labels"], False) & F.forall(s["values"], entry_ok)
+    streams = _if_all(F.transform(F.transform(_objects(F.col("_text"), LOG_BODY, "streams"), parts), stream), good)
+    flat = F.flatten(F.transform(streams, lambda s: F.transform(s["values"], lambda e: F.struct(s["labels"].alias("labels"), e["ts_ns"].alias("ts_ns"), e["line"].alias("line")))))
+    rows = found.select("_seq", F.posexplode_outer(flat).alias("place", "r")).where("r is not null")
     return rows.select("r.labels", labels_key(F.col("r.labels")).alias("labels_key"), "r.ts_ns", "r.line", (F.col("_seq") * F.lit(LOG_PLACES) + F.col("place")).alias("seq"))
