@@ -1,13 +1,36 @@
 """Plans that do each step once, so that the work grows no faster than the input."""
 
+import json
+
+from pyspark.sql import functions as F
+
 from lumora.sources import ingest
+from lumora.streaming import ingest as streaming
 
 
 def optimized(frame):
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
+def metric_body(*rows):
+    return json.dumps({"metrics": [{"name": "m", "labels": {"event_type": "a", "user": u}, "timestamp_ms": t, "value": v} for u, t, v in rows]})
+
+
 def test_bodies_are_parsed_once(spark):
     bodies = spark.createDataFrame([("{}",)], "value string")
     for frame in (ingest.metric_frame(bodies), ingest.log_frame(bodies)):
         assert optimized(frame).count("parseJson") == 1
+
+
+def test_a_batch_is_parsed_once(spark, tmp_path, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), streaming.metric_frame
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    monkeypatch.setattr(streaming, "metric_frame", lambda *a, **k: real(*a, **k).withColumn("value", F.udf(count, "double")("value")))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(metric_body((str(u), 1, 1.0), (str(u), 86_400_001, 2.0)) for u in range(20)))
+    streaming.ingest(streaming.read_bodies(spark, f"{tmp_path}/in"), "metrics", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 40 and seen.value == 40
