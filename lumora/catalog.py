@@ -353,8 +353,8 @@ def _rewriting_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _last_written(rows: DataFrame) -> DataFrame:
-    last = latest_writes(rows.withColumn("sid", F.xxhash64("labels_key"))).join(rows.select(F.xxhash64("labels_key").alias("sid"), "labels").dropDuplicates(["sid"]), "sid")
-    return last.select(_label("event_type"), _label("user", "usr"), "ts_ms", "value")
+    samples = rows.select(F.xxhash64("labels_key").alias("sid"), _label("event_type"), _label("user", "usr"), "ts_ms", "value", "gen")
+    return latest_writes(samples, "event_type", "usr").select("event_type", "usr", "ts_ms", "value")
 
 
 @_query(_REWRITTEN)

@@ -31,9 +31,9 @@ def matching(dimension: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFr
     return dimension
 
 
-def latest_writes(samples: DataFrame) -> DataFrame:
-    """One value for each series and time: the last written."""
-    return samples.groupBy("sid", "ts_ms").agg(F.max_by("value", "gen").alias("value"))
+def latest_writes(samples: DataFrame, *same: str) -> DataFrame:
+    """One value for each series and time: the last written. Columns ``same``, which are alike for all of a series, stay."""
+    return samples.groupBy("sid", "ts_ms", *same).agg(F.max_by("value", "gen").alias("value"))
 
 
 def _newest() -> Column:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lumora import catalog
 from lumora.sources import ingest
 from lumora.streaming import ingest as streaming
 
@@ -34,3 +35,10 @@ def test_a_batch_is_parsed_once(spark, tmp_path, monkeypatch):
     (tmp_path / "in" / "1.json").write_text("\n".join(metric_body((str(u), 1, 1.0), (str(u), 86_400_001, 2.0)) for u in range(20)))
     streaming.ingest(streaming.read_bodies(spark, f"{tmp_path}/in"), "metrics", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 40 and seen.value == 40
+
+
+def test_last_writes_take_their_labels_along(spark):
+    bodies = spark.createDataFrame([(0, metric_body(("1", 5, 1.0), ("2", 5, 2.0))), (1, metric_body(("1", 5, 3.0), ("1", 5, 4.0), ("1", 6, 5.0)))], "turn long, value string")
+    last = catalog._last_written(ingest.metric_frame(bodies, gen=F.col("turn")))
+    assert optimized(last).count("parseJson") == 1 and "Join" not in optimized(last)
+    assert sorted(map(tuple, last.collect())) == [("a", "1", 5, 4.0), ("a", "1", 6, 5.0), ("a", "2", 5, 2.0)]
