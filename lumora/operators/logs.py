@@ -36,14 +36,26 @@ def distinct_entries(entries: DataFrame) -> DataFrame:
     return entries.groupBy("stream_id", "ts_ns", "line").agg(F.min("seq").alias("seq"))
 
 
+#: Label sets, and bytes of them, that are sent to all executors at most.
+SENT_SETS, SENT_BYTES = 200_000, 32 << 20
+
+
+def beside(streams: DataFrame):
+    """What a dimension goes through before it meets facts: few streams are sent to all executors, since facts that are dealt out by few ids lie in few tasks."""
+    n, size = streams.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("labels_key")), F.lit(0))).first()
+    return F.broadcast if n <= SENT_SETS and size <= SENT_BYTES else lambda rows: rows
+
+
 class LogEngine:
     def __init__(self, data: Logs):
         self.data = data
 
-    def _chosen(self, select: LogSelect) -> tuple[DataFrame, DataFrame]:
+    def _chosen(self, select: LogSelect):
+        """Matching streams, their entries, and how the streams meet these."""
         streams = matching(self.data.streams, select.matchers)
+        sent = beside(streams)
         entries = self.data.entries.where(passes(F.col("line"), select))
-        return streams, entries.join(streams.select("stream_id"), "stream_id", "left_semi")
+        return streams, entries.join(sent(streams.select("stream_id")), "stream_id", "left_semi"), sent
 
     def query_range(self, text: str, start: int, end: int, limit: int = 100, backward: bool = True) -> DataFrame:
         """Entries with start <= time < end: labels, labels_key, ts_ns, line, ord, group_ord."""
@@ -59,12 +71,12 @@ class LogEngine:
         ``ord`` numbers the entries in this order; ``group_ord`` is that of the first entry of its label set.
         A limit of 0 or less is none.
         """
-        streams, entries = self._chosen(select)
+        streams, entries, sent = self._chosen(select)
         streams = with_fingerprint(streams).withColumn("_rank", F.col("fingerprint").bitwiseXOR(F.lit(INT64_MIN)))
         near = entries.where(time)
         if limit > 0:
             near = self._nearest_times(near, limit, backward)
-        rows = distinct_entries(near).join(streams.select("stream_id", "_rank"), "stream_id")
+        rows = distinct_entries(near).join(sent(streams.select("stream_id", "_rank")), "stream_id")
         order = [F.desc("ts_ns") if backward else F.asc("ts_ns"), F.asc("_rank"), F.asc("seq")]
         if limit > 0:
             # at most ``limit`` rows are left to number
@@ -73,9 +85,9 @@ class LogEngine:
             rows = rows.orderBy(*order).withColumn("ord", F.monotonically_increasing_id())
         named = streams.select("stream_id", without(F.col("labels"), select.drop).alias("labels"))
         named = named.withColumn("labels_key", labels_key(F.col("labels")))
-        out = rows.join(named, "stream_id")
+        out = rows.join(sent(named), "stream_id")
         firsts = out.groupBy("labels_key").agg(F.min("ord").alias("group_ord"))
-        return out.join(firsts, "labels_key").select("labels", "labels_key", "ts_ns", "line", "ord", "group_ord")
+        return out.join(sent(firsts), "labels_key").select("labels", "labels_key", "ts_ns", "line", "ord", "group_ord")
 
     @staticmethod
     def _nearest_times(entries: DataFrame, limit: int, backward: bool) -> DataFrame:
@@ -97,7 +109,7 @@ class LogEngine:
     def _metric(self, query: LogMetric, ticks: Ticks) -> DataFrame:
         what, by_second = RANGE_OPS[query.op]
         w = query.range_ns
-        streams, entries = self._chosen(query.select)
+        streams, entries, sent = self._chosen(query.select)
         low = max(INT64_MIN, ticks.start - w)
         near = entries.where((F.col("ts_ns") > low) & (F.col("ts_ns") <= ticks.end))
         # lines are told apart by 128 bits of hash, so that texts stay out of the shuffle
@@ -108,7 +120,7 @@ class LogEngine:
         changes = once.select("stream_id", "size", F.explode(change).alias("c")).where(F.col("c.k") <= ticks.last)
         changes = changes.groupBy("stream_id", F.col("c.k").alias("k")).agg(F.sum(F.col("c.sign").cast("long")).alias("n"), F.sum(F.col("c.sign") * F.col("size")).alias("b"))
         named = streams.select("stream_id", self._output(F.col("labels"), query).alias("labels")).withColumn("labels_key", labels_key(F.col("labels")))
-        grouped = changes.join(named, "stream_id").groupBy("labels_key", "k").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.first("labels").alias("labels"))
+        grouped = changes.join(sent(named), "stream_id").groupBy("labels_key", "k").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.first("labels").alias("labels"))
         run = Window.partitionBy("labels_key").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         held = grouped.select("labels_key", "labels", "k", F.sum("n").over(run).alias("n"), F.sum("b").over(run).alias("b"))
         spread = until_next(held, ["labels_key"], "k", ticks.last).where("n > 0")

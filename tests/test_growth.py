@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from lumora import catalog
-from lumora.sources import ingest
+from lumora.operators.logs import LogEngine
+from lumora.sources import ingest, tables
 from lumora.streaming import ingest as streaming
 
 
@@ -42,3 +43,18 @@ def test_last_writes_take_their_labels_along(spark):
     last = catalog._last_written(ingest.metric_frame(bodies, gen=F.col("turn")))
     assert optimized(last).count("parseJson") == 1 and "Join" not in optimized(last)
     assert sorted(map(tuple, last.collect())) == [("a", "1", 5, 4.0), ("a", "1", 6, 5.0), ("a", "2", 5, 2.0)]
+
+
+def test_entries_are_not_dealt_out_by_few_streams(spark):
+    data = tables_with_unknown_size(spark)
+    for frame in (LogEngine(data).query_range('{app="chat"}', 0, 10**9, 0), LogEngine(data).metric('count_over_time({app="chat"}[1s])', 10**9)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert sorted((r["labels"]["role"], r["ts_ns"]) for r in LogEngine(data).query_range('{app="chat"}', 0, 10**9, 0).collect()) == [("a", 1), ("a", 3), ("b", 2)]
+
+
+def tables_with_unknown_size(spark):
+    """Streams of which Spark does not know that they are few, as with a dimension that is gathered from facts."""
+    rows = spark.createDataFrame([("a", 1, "x", 1), ("b", 2, "y", 2), ("a", 3, "z", 3)], "role string, ts_ns long, line string, seq long")
+    rows = rows.union(rows).mapInArrow(lambda batches: batches, rows.schema)
+    return tables._logs(rows, tables._labels(app=F.lit("chat"), role=F.col("role")), lambda d: d)
